@@ -112,3 +112,30 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op5_chat_format")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.chat import format_chats, read_chats
+
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_chats(format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)))
+
+
+_OP10_SQL = """
+WITH p AS (
+  SELECT page_id, sha256(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), f AS (
+  SELECT page_id, digest, n, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+"""
+
+
+@query("op10_warc", _OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.warc import archive
+
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
