@@ -145,9 +145,11 @@ def _blocks(texts: list[str | None], chars: int = 300_000) -> Iterator[tuple[int
         yield lo, len(texts)
 
 
-def bitmap_filter(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 << 22) -> DataFrame:
+def bitmap_filter(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 << 22, keep: bool = True) -> DataFrame:
     """The rows of ``df`` whose ``column`` may be among the one column of ``keys``; an exact join must follow.
 
+    With ``keep`` false the others, which certainly aren't among them; nulls are with these.
+
     A bitmap of ``bits`` hashed positions (512 kB by default, whatever the input) goes to all
     executors, so that rows which can't match are dropped before the join shuffles them.
     """
@@ -160,4 +162,5 @@ def bitmap_filter(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 <<
     )
     held = df.sparkSession.createDataFrame([([words.get(i, 0) for i in range(bits // 64)],)], "bits array<long>").scalar()
     at = cell(df[column])
-    return df.where(F.getbit(F.get(held, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1)
+    inside = F.coalesce(df[column].isNotNull() & (F.getbit(F.get(held, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1), F.lit(False))
+    return df.where(inside if keep else ~inside)
