@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import bitmap_filter, materialize, mix, shingle_sets
+from glyphmill.llm.common import bitmap_filter, discard, materialize, mix, shingle_sets
 from glyphmill.llm.components import components
 
 KEYS = 4
 HEAVY = 1 << 16
 FREQUENT_HERE = 8
 FLUSH = 1 << 21
-BITS = 1 << 23
+BITS = 1 << 26
+ROUNDS = 2
 TILE = 1024
 LEAF = 16
 
@@ -38,19 +39,20 @@ LEAF = 16
 # -- count vectors and the tree ---------------------------------------------------------------------
 
 
-def dimensions(n: int) -> int:
-    """Groups that a set of ``n`` tokens is counted in: about four tokens each, a power of two, 16 at least."""
-    return max(16, 1 << max(0, math.ceil(n / 4) - 1).bit_length())
-
-
 def count_vector(tokens: np.ndarray) -> np.ndarray:
-    """Tokens of each group; the group is the token's low bits, so halves add up to the next coarser vector."""
-    g = dimensions(len(tokens))
-    return np.bincount((tokens & np.uint64(g - 1)).astype(np.int64), minlength=g).astype(np.uint16)
+    """Tokens of each group, a byte each; the group is the token's low bits, so halves add up to the next coarser vector.
+
+    There are about eight tokens to a group, a power of two of groups and 16 at least; twice as many
+    while a count doesn't fit its byte.
+    """
+    g = max(16, 1 << max(0, math.ceil(len(tokens) / 8) - 1).bit_length())
+    while (counts := np.bincount((tokens & np.uint64(g - 1)).astype(np.int64), minlength=g)).max(initial=0) > 255:
+        g *= 2
+    return counts.astype(np.uint8)
 
 
 def folded(vector: np.ndarray, g: int) -> np.ndarray:
-    return vector.reshape(-1, g).sum(axis=0) if len(vector) > g else vector
+    return vector.reshape(-1, g).sum(axis=0, dtype=np.uint16) if len(vector) > g else vector.astype(np.uint16)
 
 
 class RTree:
@@ -102,10 +104,12 @@ class RTree:
 
 
 def block_pairs(vectors: list[np.ndarray], sizes: np.ndarray, groups: np.ndarray, left: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of a block. Vectors of one length share a tree with those of the next length, folded."""
+    """Candidate pairs of a block. Vectors of one length share a tree with all longer ones, folded."""
     dims = np.fromiter(map(len, vectors), np.int64, len(vectors))
     for g in np.unique(dims):
-        rows = np.flatnonzero((dims == g) | (dims == 2 * g))
+        rows = np.flatnonzero(dims >= g)
+        low, high = sizes[dims == g].min(), sizes[dims == g].max()
+        rows = rows[(4 * sizes[rows] >= 3 * low) & (3 * sizes[rows] <= 4 * high)]
         if len(rows) < 2:
             continue
         tree = RTree(np.stack([folded(vectors[r], g) for r in rows]), sizes[rows], groups[rows])
@@ -158,12 +162,15 @@ def _sketches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield frequent()
 
 
-def _prefixes(heavy: tuple[np.ndarray, np.ndarray]):
-    """A function for mapInArrow: each set's prefix under the global order, and its count vector."""
+def _prefixes(heavy, divided):
+    """A function for mapInArrow: each set's prefix under the global order, and its count vector.
+
+    The order: tokens that neither table has, then those of the bitmap ``divided``, each by hash, then ``heavy`` by count.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("prefix", pa.binary()), ("point", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, rank = heavy
+        (token, rank), words = heavy.value, divided.value
         for batch in it:
             for ids, texts in _batches(batch):
                 out: list[tuple] = []
@@ -171,16 +178,13 @@ def _prefixes(heavy: tuple[np.ndarray, np.ndarray]):
                     if not len(s):
                         continue
                     length = len(s) // 4 + 1
-                    first = s[:length]
+                    place = _held(words, s).astype(np.int64)
                     if len(token):
                         at = np.minimum(np.searchsorted(token, s), len(token) - 1)
-                        often = token[at] == s
-                        if often.any():
-                            rare = s[~often]
-                            first = rare[:length]
-                            if len(rare) < length:
-                                rest = s[often][np.argsort(rank[at[often]], kind="stable")]
-                                first = np.concatenate([rare, rest[: length - len(rare)]])
+                        place = np.where(token[at] == s, 2 + rank[at], place)
+                    first = s[place == 0][:length]
+                    if len(first) < length:
+                        first = s[np.argsort(place, kind="stable")[:length]]
                     out.append((i, len(s), first.tobytes(), count_vector(s).tobytes()))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -220,34 +224,36 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _dealt(parts: int):
-    """For mapInArrow: (token, component) pairs of many documents, dealt to ``parts`` ranges of tokens as packed rows."""
+    """For mapInArrow: (token, component, size) of many documents, dealt to ``parts`` ranges of tokens as packed rows."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: list[np.ndarray] = []
         comps: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         size = 0
 
         def packed() -> pa.RecordBatch:
-            t, c = np.concatenate(tokens), np.concatenate(comps)
-            order = np.lexsort((c, t))
-            t, c = t[order], c[order]
+            t, c, n = np.concatenate(tokens), np.concatenate(comps), np.concatenate(sizes)
+            order = np.lexsort((n, c, t))
+            t, c, n = t[order], c[order], n[order]
             new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-            t, c = t[new], c[new]
+            new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])
+            t, c, n = t[new], c[new], n[new]
             part = ((t >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             cut = np.searchsorted(part, np.arange(parts + 1))
             full = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([t[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()), pa.array([c[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())], names=["part", "token", "component"])
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([t[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()), pa.array([c[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()), pa.array([n[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())], names=["part", "token", "component", "n"])
 
         for batch in it:
-            for c, p in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for c, n, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 t = np.frombuffer(p.as_buffer(), np.uint64)
                 tokens.append(t)
                 comps.append(np.full(len(t), c, np.int64))
+                sizes.append(np.full(len(t), n, np.int32))
                 size += len(t)
                 if size >= FLUSH:
                     yield packed()
-                    tokens, comps, size = [], [], 0
+                    tokens, comps, sizes, size = [], [], [], 0
         if size:
             yield packed()
 
@@ -258,15 +264,19 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
     return (mix(tokens, 31) & np.uint64(BITS - 1)).astype(np.int64)
 
 
+def _held(words: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    cell = _cell(tokens)
+    return (words[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def _divided(part: pa.Table) -> pa.Table:
-    """Bitmap words of the tokens in this range that occur in more than one component."""
-    t = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("token")])
-    c = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in part.column("component")])
-    order = np.argsort(t, kind="stable")
-    t, c = t[order], c[order]
-    first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-    several = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
-    cells = np.unique(_cell(t[first[several]]))
+    """Bitmap words of the tokens in this range that two sets of different components and of sizes near enough have."""
+    t, c, n = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in part.column(name)]) for name, kind in (("token", np.uint64), ("component", np.int64), ("n", np.int32)))
+    order = np.lexsort((n, t))
+    t, c, n = t[order], c[order], n[order].astype(np.int64)
+    # by size, any two that may link have neighbours between them that may, and components change somewhere there
+    near = (t[1:] == t[:-1]) & (c[1:] != c[:-1]) & (4 * n[:-1] >= 3 * n[1:])
+    cells = np.unique(_cell(t[1:][near]))
     words = np.zeros(0, np.int64)
     bits = np.zeros(0, np.int64)
     if len(cells):
@@ -287,8 +297,7 @@ def _entries(bitmap):
                 out: list[tuple] = []
                 for r in batch.slice(at, 256).to_pylist():
                     t = np.frombuffer(r["prefix"], np.uint64)
-                    cell = _cell(t)
-                    t = t[(words[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1]
+                    t = t[_held(words, t)]
                     out += [(x, r["doc_id"], r["component"], r["n"], r["point"]) for x in t.view(np.int64).tolist()]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -304,7 +313,7 @@ def _candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(rows) > 1:
             ids = np.array([r[0] for r in rows])
             tile = np.array([r[4] for r in rows])
-            found = list(block_pairs([np.frombuffer(r[3], np.uint16) for r in rows], np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), tile if key[1] != key[2] else None))
+            found = list(block_pairs([np.frombuffer(r[3], np.uint8) for r in rows], np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), tile if key[1] != key[2] else None))
             for u, v in found:
                 a, b = np.minimum(ids[u], ids[v]).tolist(), np.maximum(ids[u], ids[v]).tolist()
                 new = [p for p in zip(a, b, strict=True) if p not in seen]
@@ -361,17 +370,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     heavy = sketch.where("token is not null").select(F.explode(F.arrays_zip("token", "times")).alias("x")).groupBy("x.token").agg(F.sum("x.times").alias("times")).orderBy(F.desc("times"), "token").limit(HEAVY).collect()
     heavy_token = np.array([r.token for r in heavy], np.int64).view(np.uint64)
     order = np.argsort(heavy_token)
-    frequent = (heavy_token[order], -order)  # the most frequent goes last
+    frequent = spark.sparkContext.broadcast((heavy_token[order], len(order) - order))  # the most frequent goes last
     member = classes.select(F.col("class").alias("doc_id")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(frequent), "doc_id long, n long, prefix binary, point binary")
-    held = materialize(prefixes.join(member, "doc_id"))
     entries = classes.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     parts = max(1, math.ceil(entries / 500_000))
-    divided = held.select("component", "prefix").mapInArrow(_dealt(parts), "part long, token binary, component binary").groupBy("part").applyInArrow(_divided, "w long, b long")
-    bitmap = np.zeros(BITS // 64, np.int64)
-    for w, b in divided.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        bitmap[w] = b
-    inside = materialize(held.mapInArrow(_entries(spark.sparkContext.broadcast(bitmap.view(np.uint64))), "token long, doc_id long, component long, n long, point binary"))
+    known = np.zeros(BITS // 64, np.uint64)
+    for last in [False] * (ROUNDS - 1) + [True]:  # tokens that divide blocks go late in the next round's order
+        order = spark.sparkContext.broadcast(known)
+        prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(frequent, order), "doc_id long, n long, prefix binary, point binary")
+        joined = (prefixes if last else prefixes.withColumn("point", F.lit(None).cast("binary"))).join(member, "doc_id")
+        held = materialize(joined)
+        divided = held.select("component", "n", "prefix").mapInArrow(_dealt(parts), "part long, token binary, component binary, n binary").groupBy("part").applyInArrow(_divided, "w long, b long")
+        found = divided.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        bitmap = np.zeros(BITS // 64, np.uint64)
+        bitmap[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+        known = known | bitmap
+        if not last:
+            discard(held)
+    inside = materialize(held.mapInArrow(_entries(spark.sparkContext.broadcast(bitmap)), "token long, doc_id long, component long, n long, point binary"))
     blocks = _blocks_of(inside).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     pairs = materialize(blocks.mapInArrow(_candidates, "a long, b long").distinct())
     more = verified(docs, pairs)
