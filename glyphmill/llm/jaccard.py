@@ -5,8 +5,8 @@ in every dimension. So documents first meet in blocks that lose no link, and a t
 bounds the overlap of boxes and points by summed coordinate minima:
 
 1. Documents with equal sets become one class.
-2. A cheap probe puts each class into four min-hash blocks and verifies it against the first class
-   of the block: a number of pairs linear in the input that finds nearly all groups of copies.
+2. A cheap probe sorts the classes by four min-hash keys and verifies each against its neighbours of
+   the same key: a number of pairs linear in the input that finds nearly all groups of copies.
 3. The prefix theorem makes the rest exact: under one global order (tokens that are frequent go last)
    linked sets share a token in their first ``n // 4 + 1``. Only tokens whose holders still lie in
    more than one component matter. In the block of each such token the R-tree self-join emits the
@@ -27,6 +27,7 @@ from glyphmill.llm.common import bitmap_filter, discard, materialize, mix, shing
 from glyphmill.llm.components import components
 
 KEYS = 4
+NEAR = 3
 HEAVY = 1 << 16
 FREQUENT_HERE = 8
 FLUSH = 1 << 21
@@ -34,6 +35,7 @@ BITS = 1 << 26
 ROUNDS = 2
 TILE = 1024
 LEAF = 16
+FINE = 512
 
 
 # -- count vectors and the tree ---------------------------------------------------------------------
@@ -42,10 +44,11 @@ LEAF = 16
 def count_vector(tokens: np.ndarray) -> np.ndarray:
     """Tokens of each group, a byte each; the group is the token's low bits, so halves add up to the next coarser vector.
 
-    There are about eight tokens to a group, a power of two of groups and 16 at least; twice as many
-    while a count doesn't fit its byte.
+    Groups are a power of two: about one for a token up to FINE groups, beyond that one for eight
+    tokens; 16 at least, and twice as many while a count doesn't fit its byte.
     """
-    g = max(16, 1 << max(0, math.ceil(len(tokens) / 8) - 1).bit_length())
+    up = lambda x: 1 << max(0, math.ceil(x) - 1).bit_length()
+    g = max(16, up(len(tokens) / 8), min(FINE, up(len(tokens))))
     while (counts := np.bincount((tokens & np.uint64(g - 1)).astype(np.int64), minlength=g)).max(initial=0) > 255:
         g *= 2
     return counts.astype(np.uint8)
@@ -220,6 +223,21 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verify, "a long, b long")
 
 
+def _neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, key, class) sorted within a task: pairs of each class with the first and the last NEAR of its block here."""
+    block: tuple | None = None
+    first, last = 0, []
+    for batch in it:
+        out: set[tuple[int, int]] = set()
+        for k, key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if (k, key) != block:
+                block, first, last = (k, key), own, []
+            out |= {(min(own, x), max(own, x)) for x in (first, *last) if x != own}
+            last = [*last[-(NEAR - 1) :], own]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 # -- blocks of the exact step ---------------------------------------------------------------------
 
 
@@ -359,10 +377,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = sketch.where("token is null").select("doc_id", "n", "fp1", "fp2", "keys")
     classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("class"), F.any_value("keys").alias("keys")))
 
-    # probe: each class against the first of its min-hash blocks
-    keyed = classes.select("class", F.posexplode("keys").alias("k", "key"))
-    first = keyed.groupBy("k", "key").agg(F.min("class").alias("a"), F.max("class").alias("last")).where("a < last")
-    probe = materialize(keyed.join(first, ["k", "key"]).where("class > a").select("a", F.col("class").alias("b")).distinct())
+    # probe: neighbours in min-hash blocks, in an order that splits large blocks over tasks and brings like sets together
+    keyed = classes.select("class", "keys", F.posexplode("keys").alias("k", "key")).withColumn("next", F.get("keys", F.pmod(F.col("k") + 1, F.lit(KEYS))))
+    ordered = keyed.repartitionByRange("k", "key", "next", "class").sortWithinPartitions("k", "key", "next", "class")
+    probe = materialize(ordered.select("k", "key", "class").mapInArrow(_neighbours, "a long, b long").distinct())
     links = materialize(verified(docs, probe))
     labels = components(links)
 
