@@ -36,6 +36,7 @@ ROUNDS = 2
 TILE = 1024
 LEAF = 16
 FINE = 512
+FIRST = 16
 
 
 # -- count vectors and the tree ---------------------------------------------------------------------
@@ -305,8 +306,8 @@ def _divided(part: pa.Table) -> pa.Table:
 
 
 def _entries(bitmap):
-    """For mapInArrow: a row for each prefix token of a document which the bitmap has."""
-    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("point", pa.binary())])
+    """For mapInArrow: a row for each prefix token of a document which the bitmap has, with the least FIRST of them."""
+    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("point", pa.binary()), ("first", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bitmap.value
@@ -316,7 +317,8 @@ def _entries(bitmap):
                 for r in batch.slice(at, 256).to_pylist():
                     t = np.frombuffer(r["prefix"], np.uint64)
                     t = t[_held(words, t)]
-                    out += [(x, r["doc_id"], r["component"], r["n"], r["point"]) for x in t.view(np.int64).tolist()]
+                    t = np.sort(t.view(np.int64))
+                    out += [(x, r["doc_id"], r["component"], r["n"], r["point"], t[:FIRST].tobytes()) for x in t.tolist()]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -324,7 +326,11 @@ def _entries(bitmap):
 
 
 def _candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block: the candidate pairs of each block, each pair once a task."""
+    """Rows sorted by block: the candidate pairs of each block.
+
+    A pair that has a lesser token in common, among the first of both, is left to that token's block,
+    where the same bound lets it pass; what still repeats is made distinct later.
+    """
     key, rows, seen = None, [], set()
 
     def ended() -> Iterator[pa.RecordBatch]:
@@ -332,7 +338,10 @@ def _candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.array([r[0] for r in rows])
             tile = np.array([r[4] for r in rows])
             found = list(block_pairs([np.frombuffer(r[3], np.uint8) for r in rows], np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), tile if key[1] != key[2] else None))
+            before = [frozenset(x for x in np.frombuffer(r[5], np.int64).tolist() if x < key[0]) for r in rows] if found else []
             for u, v in found:
+                here = np.fromiter((before[x].isdisjoint(before[y]) for x, y in zip(u.tolist(), v.tolist(), strict=True)), bool, len(u))
+                u, v = u[here], v[here]
                 a, b = np.minimum(ids[u], ids[v]).tolist(), np.maximum(ids[u], ids[v]).tolist()
                 new = [p for p in zip(a, b, strict=True) if p not in seen]
                 if len(seen) < 1_000_000:
@@ -342,11 +351,11 @@ def _candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in it:
         cols = [c.to_pylist() for c in batch.columns]
-        for token, i, j, tile, doc, comp, n, point in zip(*cols, strict=True):
+        for token, i, j, tile, doc, comp, n, point, first in zip(*cols, strict=True):
             if (token, i, j) != key:
                 yield from ended()
                 key, rows = (token, i, j), []
-            rows.append((doc, comp, n, point, tile))
+            rows.append((doc, comp, n, point, tile, first))
     yield from ended()
 
 
@@ -356,7 +365,7 @@ def _blocks_of(entries: DataFrame) -> DataFrame:
     tiles = F.coalesce(F.ceil(F.col("rows") / TILE), F.lit(1))
     tiled = entries.join(large, "token", "left").withColumn("tiles", tiles.cast("int")).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    return tiled.select("*", other).select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc_id", "component", "n", "point")
+    return tiled.select("*", other).select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc_id", "component", "n", "point", "first")
 
 
 # -- the operator -----------------------------------------------------------------------------------
@@ -405,7 +414,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         known = known | bitmap
         if not last:
             discard(held)
-    inside = materialize(held.mapInArrow(_entries(spark.sparkContext.broadcast(bitmap)), "token long, doc_id long, component long, n long, point binary"))
+    inside = materialize(held.mapInArrow(_entries(spark.sparkContext.broadcast(bitmap)), "token long, doc_id long, component long, n long, point binary, first binary"))
     blocks = _blocks_of(inside).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     pairs = materialize(blocks.mapInArrow(_candidates, "a long, b long").distinct())
     more = verified(docs, pairs)
