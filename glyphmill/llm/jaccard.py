@@ -37,6 +37,7 @@ TILE = 1024
 LEAF = 16
 FINE = 512
 FIRST = 16
+LARGE = 1 << 16
 
 
 # -- count vectors and the tree ---------------------------------------------------------------------
@@ -305,9 +306,9 @@ def _divided(part: pa.Table) -> pa.Table:
     return pa.table({"w": pa.array(words, pa.int64()), "b": pa.array(bits, pa.int64())})
 
 
-def _entries(bitmap):
-    """For mapInArrow: a row for each prefix token of a document which the bitmap has, with the least FIRST of them."""
-    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("point", pa.binary()), ("first", pa.binary())])
+def _inside(bitmap):
+    """For mapInArrow: documents whose prefix has tokens that the bitmap has, with these tokens in order."""
+    schema = pa.schema([("doc_id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("point", pa.binary()), ("tokens", pa.list_(pa.int64()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bitmap.value
@@ -316,9 +317,9 @@ def _entries(bitmap):
                 out: list[tuple] = []
                 for r in batch.slice(at, 256).to_pylist():
                     t = np.frombuffer(r["prefix"], np.uint64)
-                    t = t[_held(words, t)]
-                    t = np.sort(t.view(np.int64))
-                    out += [(x, r["doc_id"], r["component"], r["n"], r["point"], t[:FIRST].tobytes()) for x in t.tolist()]
+                    t = np.sort(t[_held(words, t)].view(np.int64))
+                    if len(t):
+                        out.append((r["doc_id"], r["component"], r["n"], r["point"], t))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -338,7 +339,7 @@ def _candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.array([r[0] for r in rows])
             tile = np.array([r[4] for r in rows])
             found = list(block_pairs([np.frombuffer(r[3], np.uint8) for r in rows], np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), tile if key[1] != key[2] else None))
-            before = [frozenset(x for x in np.frombuffer(r[5], np.int64).tolist() if x < key[0]) for r in rows] if found else []
+            before = [frozenset(r[5]) for r in rows] if found else []
             for u, v in found:
                 here = np.fromiter((before[x].isdisjoint(before[y]) for x, y in zip(u.tolist(), v.tolist(), strict=True)), bool, len(u))
                 u, v = u[here], v[here]
@@ -359,11 +360,19 @@ def _candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from ended()
 
 
-def _blocks_of(entries: DataFrame) -> DataFrame:
-    """Entries with their block: a token, or for a token of more than TILE rows each pair of its tiles."""
-    large = entries.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > TILE)
+def _blocks_of(inside: DataFrame) -> DataFrame:
+    """A row for each token of a document and its block: the token, or for one of more than TILE rows each pair of its tiles.
+
+    Only the table of such tokens is joined, and broadcast while it has at most LARGE rows, so that
+    points are shuffled once. ``first`` has the least FIRST tokens of the document below the token.
+    """
+    large = materialize(inside.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > TILE))
+    few = large.limit(LARGE + 1).count() <= LARGE
+    head = inside.withColumn("head", F.slice("tokens", 1, FIRST))
+    entries = head.select("doc_id", "component", "n", "point", "head", F.posexplode("tokens").alias("rank", "token"))
+    entries = entries.withColumn("first", F.slice("head", F.lit(1), F.least("rank", F.lit(FIRST)))).drop("head", "rank")
     tiles = F.coalesce(F.ceil(F.col("rows") / TILE), F.lit(1))
-    tiled = entries.join(large, "token", "left").withColumn("tiles", tiles.cast("int")).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    tiled = entries.join(F.broadcast(large) if few else large, "token", "left").withColumn("tiles", tiles.cast("int")).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     return tiled.select("*", other).select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc_id", "component", "n", "point", "first")
 
@@ -414,7 +423,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         known = known | bitmap
         if not last:
             discard(held)
-    inside = materialize(held.mapInArrow(_entries(spark.sparkContext.broadcast(bitmap)), "token long, doc_id long, component long, n long, point binary, first binary"))
+    inside = materialize(held.mapInArrow(_inside(spark.sparkContext.broadcast(bitmap)), "doc_id long, component long, n long, point binary, tokens array<long>"))
+    discard(held)
     blocks = _blocks_of(inside).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     pairs = materialize(blocks.mapInArrow(_candidates, "a long, b long").distinct())
     more = verified(docs, pairs)
