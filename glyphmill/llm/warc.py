@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import materialize, scratch_dir
 
 MIN_REVISIT = 100
-MAX_HEADER = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
@@ -121,8 +120,8 @@ def _record(source, offset: int, size: int) -> dict | None:
     if not member.more(7) or not member.data.startswith(b"WARC/1."):
         return None
     wanted = 1024
-    while (end := member.data.find(b"\r\n\r\n")) < 0:
-        if member.gzip.eof or wanted > MAX_HEADER or not member.more(wanted):
+    while (end := member.data.find(b"\r\n\r\n")) < 0:  # a header is as long as its url
+        if member.gzip.eof or not member.more(wanted):
             return None
         wanted *= 2
     fields = dict(line.split(": ", 1) for line in member.data[:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
@@ -194,9 +193,12 @@ def _row(fields: dict) -> dict:
 
 
 def archive(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to archives in the shared scratch folder and read them back."""
+    """Write ``pages`` to archives in the shared scratch folder and read them back; fails unless as many records are read as were written."""
     path = scratch_dir(pages.sparkSession) + "-warc"
-    written = write_archives(pages, path)
-    if written.isEmpty():
+    records = write_archives(pages, path).agg(F.sum("records")).first()[0]
+    if not records:
         return pages.sparkSession.createDataFrame([], RECORD)
-    return read_archives(pages.sparkSession, path)
+    rows = materialize(read_archives(pages.sparkSession, path))
+    if (found := rows.count()) != records:
+        raise RuntimeError(f"{records} records were written below {path} and {found} were read")
+    return rows

@@ -2,6 +2,9 @@ import gzip
 import hashlib
 import random
 
+import pytest
+
+from glyphmill.llm import warc
 from glyphmill.llm.common import scratch_dir
 from glyphmill.llm.warc import MAGIC, archive, read_archives, write_archives
 
@@ -51,3 +54,18 @@ def test_false_magic_is_passed_over(spark, tmp_path):
     file = next(tmp_path.glob("*.warc.gz"))
     file.write_bytes(MAGIC + b"noise" + gzip.compress(b"no record") + file.read_bytes() + MAGIC)
     assert len(read_archives(spark, f"file://{tmp_path}").collect()) == sum(x[0] < 7 for x in rows)
+
+
+def test_header_of_any_length(spark):
+    rows = [(1, " " * 400_000, "y" * 200, "x", 1), (2, "data:," + "".join(chr(33 + i * i % 90) for i in range(3_000_000)), "y" * 200, "x", 1), (3, "u", "y" * 200, "x", 1)]
+    got = archive(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {tuple(x)[:5] for x in got} == brute(rows) and len(got) == 3
+    assert {x.page_id: x.url for x in got} == {i: u for i, u, *_ in rows}
+
+
+def test_lost_records_are_an_error(spark, monkeypatch):
+    frame = pages(spark)[1]
+    read = read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a: read(*a).where("page_id <> 5"))
+    with pytest.raises(RuntimeError):
+        archive(frame)
