@@ -40,9 +40,9 @@ def _quoted(url: str | None) -> str:
     return re.sub(r"[\x00-\x20%\x7f-\x9f\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "")
 
 
-def _member(page: int, url: str | None, html: bytes, digest: str, refers: int | None) -> bytes:
+def _member(page: int | None, url: str | None, html: bytes, digest: str, refers: int | None) -> bytes:
     fields = [
-        ("WARC-Record-ID", f"<urn:page:{page}>"),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>" if page is None else f"<urn:page:{page}>"),
         *([] if url is None else [("WARC-Target-URI", _quoted(url))]),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("WARC-Payload-Length", str(len(html))),
@@ -61,15 +61,17 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
 
     The payload is the html in UTF-8, empty for null. Of equal payloads of at least 100 bytes the one
     with the smallest page_id is a response and the others are revisits of it; smaller ones are all
-    responses, and so is every row of that smallest page_id if it is repeated. Rows with a null
-    page_id are left out. Each task writes one file under a name of its own and renames it when it is
-    whole, so a task that runs again does no harm.
+    responses, and so is every row of that smallest page_id if it is repeated. A null page_id is
+    written under a generated record id and read as null; it comes after all others, so such a page
+    is a revisit of an equal payload's smallest page_id and a response if there is none. Each task
+    writes one file under a name of its own and renames it when it is whole, so a task that runs
+    again does no harm.
     """
-    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("html"))
     seen = rows.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= MIN_REVISIT)
-    shared = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").select("digest", "refers_to")
-    revisits = seen.join(shared, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to")
-    digested = rows.withColumn("digest", F.sha2("html", 256)).join(revisits.distinct(), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
+    shared = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.bool_or(F.col("page_id").isNull()).alias("unnamed")).where("last > refers_to or (unnamed and refers_to is not null)").select("digest", "refers_to")
+    revisits = seen.join(shared, "digest").where("not (page_id <=> refers_to)").select(F.col("page_id").alias("later"), F.col("digest").alias("equal"), "refers_to").distinct()
+    digested = rows.withColumn("digest", F.sha2("html", 256)).join(revisits, F.col("page_id").eqNullSafe(F.col("later")) & (F.col("digest") == F.col("equal")), "left").select("page_id", "url", "html", "digest", "refers_to")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, n = None, f"{path}/part-{uuid.uuid4().hex}.warc.gz", 0

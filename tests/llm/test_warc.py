@@ -69,3 +69,13 @@ def test_lost_records_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(warc, "read_archives", lambda *a: read(*a).where("page_id <> 5"))
     with pytest.raises(RuntimeError):
         archive(frame)
+
+
+def test_pages_without_an_id(spark):
+    shared, own = "z" * 150, "w" * 150
+    rows = [(None, "a", shared, "x", 1), (None, "b", shared, "x", 1), (7, "c", shared, "x", 1), (8, "d", shared, "x", 1), (None, "e", own, "x", 1), (None, "f", own, "x", 1), (None, None, "short", "x", 1), (9, "g", "short", "x", 1), (None, "h", None, "x", 1)]
+    got = archive(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    want = [(i, len(t or ""), sha(t), *(("revisit", 7) if t == shared and i != 7 else ("response", None)), u) for i, u, t, *_ in rows]
+    assert sorted((tuple(x)[:6] for x in got), key=str) == sorted(want, key=str)
+    assert all(bytes(x.payload) == ({u: t for _, u, t, *_ in rows}[x.url] or "").encode() for x in got if x.record_type == "response")
