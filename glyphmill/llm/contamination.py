@@ -47,15 +47,20 @@ def _in_bitmap(words: DataFrame, column: str) -> Callable[[Column], Column]:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per document (``doc_id``, ``n_words``, ``n_hit``, ``item_ids``): words inside any occurrence of a window, and the items with one.
+    """Per document (``doc_id``, ``n_words``, ``n_hit``, ``item_ids``): as ``contamination``, without ``n_items``."""
+    return contamination(docs, items).drop("n_items")
+
+
+def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Per document (``doc_id``, ``n_words``, ``n_hit``, ``item_ids``, ``n_items``): words inside any occurrence of a window, and the items with one.
 
     ``docs`` has ``doc_id`` and ``text``, ``items`` ``item_id`` and ``text``; other columns are
     ignored. Null or empty texts have no words. Rows that repeat a doc_id count as one document,
-    whose places are those of any; items that repeat count once; a null item_id is left out. Without
-    items nothing is hit; without documents there are no rows.
+    whose places are those of any; items that repeat count once. Items with a null item_id hit as
+    the others; they are not in ``item_ids`` and are one item in ``n_items``. Without items nothing is hit; without documents there are no rows.
     """
     docs = docs.select("doc_id", "text")
-    windowed = materialize(windows(items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")))
+    windowed = materialize(windows(items.select(F.col("item_id").cast("string").alias("item_id"), "text")))
     n_windows = windowed.count()
     vocabulary = materialize(windowed.select(F.explode("window").alias("word")).distinct())
     n_vocabulary = vocabulary.count()
@@ -65,7 +70,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     times = vocabulary.join(said, "word", "left").select("word", F.coalesce("times", F.lit(0)).alias("times"))
     keyed = windowed.select("item_id", "window", F.posexplode("window").alias("off", "word")).join(_small(times, n_vocabulary), "word")
     rarest = materialize(keyed.groupBy("item_id", "window").agg(F.min(F.struct("times", "word", "off")).alias("r")).select("item_id", "window", F.size("window").alias("k"), "r.word", "r.off"))
-    by_window = materialize(rarest.groupBy("window", "k", "word", "off").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")))
+    by_window = materialize(rarest.groupBy("window", "k", "word", "off").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.bool_or(F.col("item_id").isNull()).alias("unnamed")))
 
     likely = _in_bitmap(by_window.select("word"), "word")
     w = docs.select("doc_id", words_of("text").alias("w"))
@@ -77,6 +82,6 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     start = F.col("at") - F.col("off")
     met = p.join(_small(by_window.withColumnRenamed("word", "rare"), n_windows), (F.col("word") == F.col("rare")) & (start >= 0) & (start + F.col("k") <= F.col("n_words")) & (F.slice("near", start - F.col("lo") + 1, F.col("k")) == F.col("window")), "left")
     # the hits of one document: a row for each place of a window, merged before the shuffle
-    hits = met.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set(F.when(F.col("k").isNotNull(), F.struct(start.alias("at"), "k"))).alias("hits"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"))
+    hits = met.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set(F.when(F.col("k").isNotNull(), F.struct(start.alias("at"), "k"))).alias("hits"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"), F.coalesce(F.bool_or("unnamed"), F.lit(False)).alias("unnamed"))
     inside = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["k"] - 1))))
-    return hits.select("doc_id", "n_words", F.size(inside).cast("long").alias("n_hit"), F.sort_array("item_ids").alias("item_ids"))
+    return hits.select("doc_id", "n_words", F.size(inside).cast("long").alias("n_hit"), F.sort_array("item_ids").alias("item_ids"), (F.size("item_ids") + F.col("unnamed").cast("int")).cast("long").alias("n_items"))

@@ -1,7 +1,8 @@
 import random
 import re
 
-from glyphmill.llm.contamination import decontaminate
+from glyphmill.llm import queries
+from glyphmill.llm.contamination import contamination, decontaminate
 
 
 def words(t):
@@ -46,3 +47,22 @@ def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(x) for x in decontaminate(docs, none).collect()] == [(1, 2, 0, [])]
     assert decontaminate(docs.limit(0), none).collect() == []
+
+
+def test_items_without_an_id_hit(spark, tmp_path):
+    passage, other = "one two three four five six seven eight nine ten eleven", "red green blue"
+    docs = [(1, f"so {passage} ends"), (2, other), (3, f"{passage} {other}"), (4, "nothing of it")]
+    items = [(None, passage), (None, "nor this"), (5, other), (6, "ten eleven red")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d, b = (spark.read.parquet(f"{tmp_path}/{x}.parquet") for x in ("documents", "benchmark"))
+    want = {(1, 13, 11, ()), (2, 3, 3, ("5",)), (3, 14, 14, ("5", "6")), (4, 3, 0, ())}
+    assert {(x.doc_id, x.n_words, x.n_hit, tuple(x.item_ids)) for x in decontaminate(d, b).collect()} == want
+    assert {x.doc_id: x.n_items for x in contamination(d, b).collect()} == {1: 1, 2: 1, 3: 3, 4: 0}
+    assert {x.doc_id: (x.n_items, x.contaminated) for x in queries.op9(spark, str(tmp_path)).collect()} == {1: (1, True), 2: (1, True), 3: (3, True), 4: (0, False)}
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(db.execute(queries.ORACLES["op9_decontaminate"]).fetchall()) == sorted(map(tuple, queries.op9(spark, str(tmp_path)).collect()))
