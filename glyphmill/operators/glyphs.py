@@ -127,7 +127,16 @@ def denoise_glyphs(glyphs: DataFrame, size: int) -> DataFrame:
 
 
 def kmeans_glyphs(counts: DataFrame, n: int, weight: str = "cnt", seed: int = 42) -> DataFrame:
-    """(``medoid_id``, ``pattern``) from weighted k-means on structure features, the medoid of each cluster, padded to n with the empty glyph first.
+    """(``medoid_id``, ``pattern``) of ``glyph_medoids``, padded to n with the empty glyph first."""
+    picked = glyph_medoids(counts, n, weight, seed)
+    ranked = picked.groupBy("pattern").agg(F.min("first").alias("first")).where("pattern <> 0").orderBy("first", "pattern").limit(n - 1)
+    numbered = ranked.select(F.row_number().over(Window.orderBy("first", "pattern")).alias("medoid_id"), "pattern")
+    zero = counts.sparkSession.createDataFrame([(0, 0)], "medoid_id int, pattern long")
+    return pad_to(numbered.unionByName(zero), n)
+
+
+def glyph_medoids(counts: DataFrame, n: int, weight: str = "cnt", seed: int = 42) -> DataFrame:
+    """(``pattern``, ``first``): the medoid of each of n clusters, and its number, from weighted k-means on structure features.
 
     Features are the normalised edges and density times 0.1 and the row bytes times 10. Up to n
     distinct patterns are taken as they are.
@@ -136,16 +145,14 @@ def kmeans_glyphs(counts: DataFrame, n: int, weight: str = "cnt", seed: int = 42
     from pyspark.ml.functions import array_to_vector
 
     if counts.count() <= n:
-        picked = counts.select("pattern", F.lit(0).alias("first"))
+        return counts.select("pattern", F.lit(0).alias("first"))
+    if n == 1:  # k-means needs two clusters
+        found = counts.select("pattern", F.lit(0).alias("prediction"))
     else:
         raw = [F.transform(P.edge_descriptor("pattern"), lambda x: x * 0.1), F.transform(P.density("pattern"), lambda x: x * 0.1), F.array(*[P.row_byte("pattern", r) / 255.0 * 10.0 for r in range(8)])]
         data = counts.select("pattern", F.col(weight).cast("double").alias("w"), array_to_vector(F.concat(*raw)).alias("features"))
-        model = KMeans(k=n, seed=seed, weightCol="w").fit(data)
-        picked = cluster_medoid(model.transform(data).select("prediction", "pattern", F.col("pattern").alias("at")), "prediction", "at").select("pattern", F.col("prediction").alias("first"))
-    ranked = picked.groupBy("pattern").agg(F.min("first").alias("first")).where("pattern <> 0").orderBy("first", "pattern").limit(n - 1)
-    numbered = ranked.select(F.row_number().over(Window.orderBy("first", "pattern")).alias("medoid_id"), "pattern")
-    zero = counts.sparkSession.createDataFrame([(0, 0)], "medoid_id int, pattern long")
-    return pad_to(numbered.unionByName(zero), n)
+        found = KMeans(k=n, seed=seed, weightCol="w").fit(data).transform(data)
+    return cluster_medoid(found.select("prediction", "pattern", F.col("pattern").alias("at")), "prediction", "at").select("pattern", F.col("prediction").alias("first"))
 
 
 def hq_assign(pixels: np.ndarray, fg: np.ndarray, bg: np.ndarray, glyphs: np.ndarray, k: int = 3) -> np.ndarray:

@@ -100,6 +100,12 @@ def _glyphs(tiles: DataFrame, n: int, config: Config, reserved: DataFrame | None
     return G.ensure_zero(found)
 
 
+def reserved_glyphs(cells: DataFrame, n: int) -> DataFrame:
+    """(``pattern``, ``frames``): the patterns of more than one frame, or if they are more than ``n`` the medoids of ``n`` clusters of all, weighted by frames."""
+    found = G.coherent(cells.select("frame_idx", P.canonical("raw").alias("pattern")), "frame_idx", "pattern")
+    return found.join(G.glyph_medoids(found, n, "frames"), "pattern").select("pattern", "frames")
+
+
 def _by(column: str):
     from pyspark.sql import Window
 
@@ -152,7 +158,7 @@ def encode(spark: SparkSession, folder: str, config: Config = Config(), glyphs:
         out.append(tables(shared))
     reserved = None
     if config.coherence:
-        reserved = G.coherent(cells.select("frame_idx", P.canonical("raw").alias("pattern")), "frame_idx", "pattern").orderBy(F.desc("frames"), "pattern").limit(config.coherence)
+        reserved = reserved_glyphs(cells, config.coherence).orderBy(F.desc("frames"), "pattern").cache()
     for i in numbers:  # a fit for each frame, as the mode asks; its cells are matched in parallel
         part, own = cells.where(F.col("frame_idx") == i), px.where(F.col("frame_idx") == i)
         palette = shared if shared is not None else palette_of(own)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import patterns as P
 from glyphmill.operators import glyphs as G
 from glyphmill.operators import rle as R
-from glyphmill.plans.encode import Config, encode
+from glyphmill.plans.encode import Config, encode, reserved_glyphs
 from glyphmill.sources import container as K
 from glyphmill.sources import images as I
 
@@ -163,3 +163,13 @@ def test_encode_global_decodes_to_the_image(spark, tmp_path):
     assert (got[0][200:300] == img[200:300]).all()
     with pytest.raises(ValueError):
         Config("other")
+
+
+def test_more_recurring_patterns_than_reserved_are_clustered(spark):
+    left, right = [0x7F00000000000000 + i for i in range(6)], [0x0000000000FF0000 + (i << 40) for i in range(4)]
+    rows = [(f, p) for p in left for f in range(5)] + [(f, p) for p in right for f in range(2)] + [(0, 77)]
+    cells = spark.createDataFrame(rows, "frame_idx int, raw long")
+    got = {r.pattern: r.frames for r in reserved_glyphs(cells, 2).collect()}
+    assert len(got) == 2 and len(set(got) & set(left)) == 1 and len(set(got) & set(right)) == 1
+    assert {r.pattern: r.frames for r in reserved_glyphs(cells, 10).collect()} == {p: 5 for p in left} | {p: 2 for p in right}
+    assert reserved_glyphs(cells, 1).count() == 1
