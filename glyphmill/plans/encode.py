@@ -127,8 +127,8 @@ def encode(spark: SparkSession, folder: str, config: Config = Config(), glyphs:
     numbers = [r.frame_idx for r in frames.select("frame_idx").orderBy("frame_idx").collect()]
     by_frame = config.mode != "global"
 
-    def palette_of(part: DataFrame) -> DataFrame:
-        return C.kmeans_palette(C.weighted_colours(C.stride_sample(part.withColumn("pixel_idx", F.col("tile_idx") * 64 + F.col("pos")))))
+    def shared_palette() -> DataFrame:  # every fourth pixel; that of one frame has all its pixels
+        return C.kmeans_palette(C.weighted_colours(C.stride_sample(px.withColumn("pixel_idx", F.col("tile_idx") * 64 + F.col("pos")))))
 
     def tables(palette: DataFrame, slot: int = 0) -> bytes:
         return K.chunk(K.LUT, slot, _table(palette)) + K.chunk(K.LUT, slot + 2, _table(palette))
@@ -148,12 +148,12 @@ def encode(spark: SparkSession, folder: str, config: Config = Config(), glyphs:
 
     out = [K.header(config.duration)]
     if not by_frame:
-        palette, found = palette_of(px), G.pad_to(G.ensure_zero(glyphs), 1024) if glyphs is not None else _glyphs(cells, 1024, config)
+        palette, found = shared_palette(), G.pad_to(G.ensure_zero(glyphs), 1024) if glyphs is not None else _glyphs(cells, 1024, config)
         bodies = K.assignments_to_frames(_words(matched(cells, found, palette, tiles), False), config.rle)
         out += [tables(palette), fonts(found, 1024)]
         out += [r.body for r in bodies.orderBy("frame_idx").toLocalIterator()]
         return b"".join(out)
-    shared = palette_of(px) if config.mode == "hybrid" else None
+    shared = shared_palette() if config.mode == "hybrid" else None
     if shared is not None:
         out.append(tables(shared))
     reserved = None
@@ -161,7 +161,7 @@ def encode(spark: SparkSession, folder: str, config: Config = Config(), glyphs:
         reserved = reserved_glyphs(cells, config.coherence).orderBy(F.desc("frames"), "pattern").cache()
     for i in numbers:  # a fit for each frame, as the mode asks; its cells are matched in parallel
         part, own = cells.where(F.col("frame_idx") == i), px.where(F.col("frame_idx") == i)
-        palette = shared if shared is not None else palette_of(own)
+        palette = shared if shared is not None else C.kmeans_palette(C.weighted_colours(own))
         found = _glyphs(part, 512, config, reserved)
         before = (b"" if shared is not None else tables(palette, i % 2)) + fonts(found, 512, i % 2 * 2)
         cells_ = _words(matched(part, found, palette, tiles.where(F.col("frame_idx") == i)), True)

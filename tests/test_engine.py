@@ -173,3 +173,12 @@ def test_more_recurring_patterns_than_reserved_are_clustered(spark):
     assert len(got) == 2 and len(set(got) & set(left)) == 1 and len(set(got) & set(right)) == 1
     assert {r.pattern: r.frames for r in reserved_glyphs(cells, 10).collect()} == {p: 5 for p in left} | {p: 2 for p in right}
     assert reserved_glyphs(cells, 1).count() == 1
+
+
+def test_frame_palette_sees_all_pixels(spark, tmp_path):
+    img = np.zeros((480, 640, 3), np.uint8)
+    img[:, 1::8] = (10, 220, 40)
+    (tmp_path / "f.png").write_bytes(I.png(img))
+    data = encode(spark, str(tmp_path), Config("frame", rle=True))
+    table = next(c for c in K.chunks(data) if c[2] == K.LUT)[-1]
+    assert bytes([40, 220, 10]) in {bytes(table[4 * i : 4 * i + 3]) for i in range(256)}
