@@ -165,9 +165,13 @@ _RGB = "SELECT DISTINCT (l_partkey % 256)::INT AS r, (l_suppkey % 256)::INT AS g
 _LIN = "CASE WHEN {0} / 255.0::DOUBLE <= 0.04045 THEN {0} / 255.0::DOUBLE / 12.92 ELSE power(({0} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END"
 
 
-def _rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return li.select(*[(F.col(k) % 256).cast("int").alias(c) for k, c in (("l_partkey", "r"), ("l_suppkey", "g"), ("l_orderkey", "b"))]).distinct()
+    return li.select(*[(F.col(k) % 256).cast("int").alias(c) for k, c in (("l_partkey", "r"), ("l_suppkey", "g"), ("l_orderkey", "b"))])
+
+
+def _rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pixels(spark, sf_dir).distinct()
 
 
 def _sql_times(matrix: tuple, names: str) -> list[str]:
@@ -312,7 +316,7 @@ def kmeans_glyphs(spark, sf_dir):
 
 @query("kmeans_palette")
 def kmeans_palette(spark, sf_dir):
-    return C.kmeans_palette(weighted_colours(spark, sf_dir), k=32)
+    return C.kmeans_palette(C.weighted_colours(_pixels(spark, sf_dir)))
 
 
 def _words_of(spark: SparkSession, sf_dir: str) -> DataFrame:

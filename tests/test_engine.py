@@ -182,3 +182,12 @@ def test_frame_palette_sees_all_pixels(spark, tmp_path):
     data = encode(spark, str(tmp_path), Config("frame", rle=True))
     table = next(c for c in K.chunks(data) if c[2] == K.LUT)[-1]
     assert bytes([40, 220, 10]) in {bytes(table[4 * i : 4 * i + 3]) for i in range(256)}
+
+
+def test_palette_query_clusters_whole_colours(spark, tmp_path):
+    from glyphmill.plans.queries import QUERIES
+
+    spark.range(2000).selectExpr("id * 7 as l_partkey", "id * 11 as l_suppkey", "id * 13 as l_orderkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["kmeans_palette"](spark, str(tmp_path)).collect()
+    assert len(got) == 256 and {r.idx for r in got} == set(range(256))
+    assert max(r.r for r in got) > 200 and len({(r.r, r.g, r.b) for r in got}) > 200
