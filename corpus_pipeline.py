@@ -17,13 +17,21 @@ from glyphmill.llm.packing import pack
 from glyphmill.llm.quality import assess, fit
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``_row`` of each row, whatever its id; written, so that every read finds the same numbers."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned list keep."""
     return assess(docs, fit(docs, table(spark, sf_dir, "labels"))).where("kept").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs; ``n_chars`` follows the text, and what has no words left goes."""
+    """Documents without later copies of repeated line runs; ``n_chars`` follows the text, and what has no words left goes.
+
+    Rows equal in id and text are one document here and stay alike; the Jaccard stage keeps one of them.
+    """
     lean = dedup_lines(docs)
     some = F.rlike(F.col("text"), F.lit(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
@@ -32,15 +40,21 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; repeated rows and null ids stay as they are."""
-    away = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(away, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked rows the one with the smallest id; repeated rows and null ids, which come last, are rows like others."""
+    keyed = _keyed(docs)
+    found = jaccard_components(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    members = materialize(found.join(keyed.select("_row", "doc_id"), "_row"))
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("first"))
+    away = materialize(members.join(first, "component_id").where(F.col("_row") != F.col("first._row")).select("_row"))
+    return keyed.join(away, "_row", "left_anti").select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    leaks = materialize(decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0 and doc_id is not null").select("doc_id"))
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no window of a benchmark item; each row is judged by its own text, whatever its id."""
+    keyed = _keyed(docs)
+    hits = decontaminate(keyed.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("n_hit > 0")
+    leaks = materialize(hits.select(F.col("doc_id").alias("_row")))
+    return keyed.join(leaks, "_row", "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,23 @@ def test_stages_equal_brute_force(spark, tmp_path):
         frame = spark.createDataFrame(rows, out.schema)
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x.doc_id for x in packed} == set(steps[-1])
+
+
+def test_repeated_rows_and_null_ids(spark, tmp_path):
+    words = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    item = "this passage of ten words is in the benchmark table"
+    rows = [(1, words(1)), (1, words(1)), (2, words(2)), (None, words(2) + " more"), (None, words(3)), (None, words(3)), (4, words(4)), (4, words(5)), (None, words(6)), (9, words(7)), (8, words(7))]
+    leaks = [(None, words(10) + " " + item), (4, words(11) + " " + item)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows + leaks], "doc_id long, text string, n_chars long").repartition(3)
+    want = [(1, words(1)), (2, words(2)), (None, words(3)), (4, words(4)), (4, words(5)), (None, words(6)), (8, words(7))]
+    once = corpus_pipeline.jaccard_stage(spark, docs, str(tmp_path))
+    assert sorted(((x.doc_id, x.text) for x in once.collect()), key=str) == sorted(want + leaks, key=str)
+    clean = corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path))
+    assert sorted(((x.doc_id, x.text) for x in clean.collect()), key=str) == sorted(rows, key=str)
+    out = docs
+    for stage in (corpus_pipeline.line_stage, corpus_pipeline.jaccard_stage, corpus_pipeline.benchmark_stage):
+        out = spark.createDataFrame(stage(spark, out, str(tmp_path)).collect(), docs.schema)
+    # line dedup keeps the first copy by id, where null comes before all
+    assert sorted((x.text.removesuffix(" more") for x in out.collect())) == sorted(t for _, t in want)
+    assert corpus_pipeline.packing_stage(spark, out, str(tmp_path)).count() == len(want)
