@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not (spark.sparkContext.master or "").startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master or ""):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _local_scratch:
             _local_scratch.append("file://" + tempfile.mkdtemp(prefix="scratch-"))
@@ -29,10 +30,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
+def files_for(spark: SparkSession, *, size: int = 0, rows: int | None = None) -> int:
+    """How many files to write: of a small table of ``rows`` numbers one for each half million; else four a core, or one for each 128 MB of what is read."""
+    if rows is not None:
+        return max(1, -(-rows // 500_000))
+    return max(4 * spark.sparkContext.defaultParallelism, -(-size // (128 << 20)))
+
+
+def materialize(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back: cuts lineage, survives lost executors.
+
+    With ``files``, its last stage runs in at most so many tasks: where shuffle partitions are many
+    and rows few, a file for each partition costs more than its contents (a file system without
+    native calls starts several processes for each).
+    """
     path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -145,13 +158,11 @@ def _blocks(texts: list[str | None], chars: int = 300_000) -> Iterator[tuple[int
         yield lo, len(texts)
 
 
-def bitmap_filter(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 << 22, keep: bool = True) -> DataFrame:
-    """The rows of ``df`` whose ``column`` may be among the one column of ``keys``; an exact join must follow.
-
-    With ``keep`` false the others, which certainly aren't among them; nulls are with these.
+def bitmap_split(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``column`` may be among the one column of ``keys``, to be joined with them, and the others, which certainly aren't (nulls too).
 
     A bitmap of ``bits`` hashed positions (512 kB by default, whatever the input) goes to all
-    executors, so that rows which can't match are dropped before the join shuffles them.
+    executors, so that rows which can't match are not shuffled.
     """
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     words = dict(
@@ -163,4 +174,4 @@ def bitmap_filter(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 <<
     held = df.sparkSession.createDataFrame([([words.get(i, 0) for i in range(bits // 64)],)], "bits array<long>").scalar()
     at = cell(df[column])
     inside = F.coalesce(df[column].isNotNull() & (F.getbit(F.get(held, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1), F.lit(False))
-    return df.where(inside if keep else ~inside)
+    return df.where(inside), df.where(~inside)

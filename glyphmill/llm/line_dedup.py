@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from glyphmill.llm.common import bitmap_filter, discard, materialize
+from glyphmill.llm.common import bitmap_split, discard, materialize
 
 MIN_WORDS = 50
 KEY = ["did", "mark"]
@@ -137,8 +137,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = runs.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("i", "size"))).alias("_gone"))
     # only documents that may have deletions are shuffled with their texts
     keyed = _keyed(docs).withColumn("_place", F.xxhash64(*KEY))
-    some = bitmap_filter(keyed, "_place", runs.select(F.xxhash64(*KEY).alias("_place")))
-    others = bitmap_filter(keyed, "_place", runs.select(F.xxhash64(*KEY).alias("_place")), keep=False)
+    some, others = bitmap_split(keyed, "_place", runs.select(F.xxhash64(*KEY).alias("_place")))
     columns = [*docs.columns, "n_lines", "n_removed"]
     untouched = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long"), "n_removed": F.lit(0).cast("long")}
     met = some.join(gone, KEY, "left")

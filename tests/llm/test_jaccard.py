@@ -1,6 +1,7 @@
 import random
 import re
 
+from glyphmill.llm import jaccard
 from glyphmill.llm.jaccard import jaccard_components
 
 SCHEMA = "doc_id long, text string, n long"
@@ -67,3 +68,39 @@ def test_edge_cases(spark):
     rows = [(1, "a b c d e f g h", 1), (1, "a b c d e f g h", 1), (None, "a b c d e f g h", 1), (5, "a b c d e f g h", 1)]
     got = sorted(jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect(), key=str)
     assert [r.component_id for r in got] == [1, 1, 1, None]
+
+
+def test_exact_step_alone_with_blocks_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SETTLE", 0)
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    for seed in (3, 4):
+        docs = corpus(seed)
+        got = jaccard_components(spark.createDataFrame([(i, t, 9) for i, t in docs], SCHEMA).repartition(3)).collect()
+        assert {tuple(r) for r in got} == brute(docs)
+
+
+def test_settling_joins_a_large_group(spark, monkeypatch):
+    """Near copies of one text are joined in the tiles, with fewer links than documents; other components are left alone."""
+    r = random.Random(5)
+    base = [f"b{k}" for k in range(300)]
+    docs = []
+    for _ in range(700):
+        copy = list(base)
+        for _ in range(3):
+            copy[r.randrange(300)] = f"x{r.randrange(10**6)}"
+        docs.append(" ".join(copy))
+    docs += [" ".join(f"o{k}_{i}" for i in range(300)) for k in range(5)]
+    docs = list(enumerate(docs))
+    emitted = []
+    block_pairs = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda texts, pairs: emitted.append(pairs.count()) or block_pairs(texts, pairs))
+    got = jaccard_components(spark.createDataFrame([(i, t, 9) for i, t in docs], SCHEMA).repartition(3)).collect()
+    assert {tuple(x) for x in got} == brute(docs)
+    assert sum(emitted) < 7000
+
+
+def test_long_texts(spark):
+    words = [f"w{k * 7919 % 60000}" for k in range(60000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:55000])), (3, " ".join(words[:30000])), (4, "y" * 200_000), (5, "Y" * 200_000)]
+    got = jaccard_components(spark.createDataFrame([(i, t, 9) for i, t in docs], SCHEMA)).collect()
+    assert {tuple(x) for x in got} == brute(docs)
