@@ -1,31 +1,34 @@
-"""Deletion of later copies of repeated line runs, by prefix doubling over line ids.
+"""Deletion of later copies of repeated line runs: a suffix array over line ids by prefix doubling, and its LCP intervals.
 
-The corpus is a sequence of line ids; a suffix's rank by its first ``2k`` lines follows from the ranks
-by ``k`` lines of itself and of the suffix ``k`` lines on. Ranks here are names, equal for equal runs
-and only for those: suffixes of one name are an interval of the suffix array whose longest common
-prefix is at least ``k``. Names that occur once leave at each step, so only repeated runs are ever
-doubled, and no step holds more than a few numbers for each line.
+The corpus is a sequence of line ids. A suffix's rank by its first ``2k`` lines follows from the ranks
+by ``k`` lines of itself and of the suffix ``k`` lines on: the pairs are sorted over all tasks, and a
+pair's rank is the number of suffixes before it. Suffixes of one rank are an interval of the suffix
+array whose longest common prefix is ``k`` lines at least; its length is the number of copies. Ranks
+that one suffix has leave at each step, so only repeated runs are ever doubled.
 
 A run that is repeated and has ``min_words`` words or more is the union of windows of that many words
-that begin or end in it, and each such window is a run covered by two names. So doubling need go no
-deeper than the longest such window; the windows that have an earlier copy, put together, are the
-maximal repeated runs, and their lines go.
+that begin or end in it. The interval of a window of ``k`` to ``2k`` lines is given by two ranks of
+``k`` lines, so doubling need go no deeper than the longest such window. Windows that are not the
+first of their interval, put together, are the maximal repeated runs, and their lines go.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from glyphmill.llm.common import bitmap_split, discard, materialize
+from glyphmill.llm.common import bitmap_split, discard, files_for, materialize
 
 MIN_WORDS = 50
 KEY = ["did", "mark"]
+SMALL = 1 << 18  # counted rows of a few numbers up to which a side is broadcast; beyond it the join shuffles
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -33,18 +36,48 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "mark": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
+def _sized(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def _lines(docs: DataFrame, files: int) -> DataFrame:
+    """(key, ``i``, ``a``, ``b``, ``words``) of each line of each document; ``a`` and ``b`` are 128 bits of its hash."""
+    keyed = _keyed(docs).where("text is not null").select(*KEY, F.col("text").cast("string").alias("text"))
+    often = materialize(keyed.groupBy(*KEY).agg(F.count("*").alias("times")).where("times > 1").select(*KEY), files)
+    if not often.isEmpty():  # only rows that repeat are shuffled with their texts
+        likely, sure = bitmap_split(keyed.withColumn("_place", F.xxhash64(*KEY)), "_place", often.select(F.xxhash64(*KEY)))
+        keyed = likely.dropDuplicates(KEY).unionByName(sure).drop("_place")
     words = lambda x: F.size(F.array_remove(F.split(x, r"[\x20\x09-\x0D]+", -1), ""))
-    keyed = _keyed(docs).where("text is not null")
-    each = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("name"), words(x).alias("words")))
-    return keyed.select(*KEY, F.explode(each).alias("x")).select(*KEY, "x.*").dropDuplicates([*KEY, "i"])
+    each = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), words(x).alias("words")))
+    return materialize(keyed.select(*KEY, F.explode(each).alias("x")).select(*KEY, "x.*"), files)
+
 
+def _numbered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, times) in order: the number of suffixes before each in this task, and the task."""
+    before, part = 0, TaskContext.get().partitionId()
+    for batch in it:
+        times = batch.column(2).to_numpy()
+        ends = before + np.cumsum(times)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - times), pa.array(np.full(len(times), part, np.int64))], names=["a", "b", "times", "here", "part"])
+        before = int(ends[-1]) if len(ends) else before
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows whose name occurs more than once; the counts are partial before the shuffle and the join splits hot names."""
-    often = rows.groupBy("name").agg(F.count("*").alias("times")).where("times > 1").select("name")
-    return rows.join(often, "name")
+
+def _ranked(rows: DataFrame, files: int) -> DataFrame:
+    """``rows`` of suffixes whose pair (``a``, ``b``) others have too, with ``rank``, the number of such suffixes before the pair's, for the pair.
+
+    Counts are partial before the shuffle; pairs, not suffixes, are sorted; a hot pair's suffixes
+    meet its rank by a broadcast of counted size or else by a plain join, which Spark splits.
+    """
+    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("times")).where("times > 1")
+    ordered = pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b")
+    numbered = materialize(ordered.mapInArrow(_numbered, "a long, b long, times long, here long, part long"), files)
+    sums = sorted(tuple(r) for r in numbered.groupBy("part").agg(F.sum("times")).collect())  # a number for each task
+    offsets = rows.sparkSession.createDataFrame([(p, o) for (p, _), o in zip(sums, accumulate((n for _, n in sums), initial=0))], "part long, offset long")
+    ranks = numbered.join(F.broadcast(offsets), "part").select("a", "b", (F.col("here") + F.col("offset")).alias("rank"))
+    few = numbered.limit(SMALL + 1).count() <= SMALL
+    out = materialize(rows.join(F.broadcast(ranks) if few else ranks, ["a", "b"]).drop("a", "b"), files)
+    discard(numbered)
+    return out
 
 
 def _windows(min_words: int):
@@ -74,53 +107,72 @@ def _windows(min_words: int):
     return run
 
 
+def _joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of each document, put together where they overlap or touch."""
+    kind = pa.list_(pa.struct([("i", pa.int64()), ("size", pa.int64())]))
+    for batch in it:
+        out = []
+        for windows in batch.column(2).to_pylist():
+            runs: list[dict] = []
+            for w in windows:  # in order of their starts
+                if runs and w["i"] <= runs[-1]["i"] + runs[-1]["size"]:
+                    runs[-1]["size"] = max(runs[-1]["size"], w["i"] + w["size"] - runs[-1]["i"])
+                else:
+                    runs.append(dict(w))
+            out.append(runs)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["did", "mark", "runs"])
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(``did``, ``mark``, ``i``, ``size``): windows of lines that have an earlier copy; together they are the lines to delete."""
-    level = materialize(_repeated(_lines(docs)).select(*KEY, "i", "name", "words"))
+    """(``did``, ``mark``, ``runs``): the maximal runs of lines to delete, (``i``, ``size``) in order, of each document that has any."""
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    files = files_for(docs.sparkSession, size=size)
+    every = _lines(docs, files)
+    level = _ranked(every, files)
+    discard(every)
     lines = level.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("i", "words"))).alias("lines"))
-    windows = materialize(lines.mapInArrow(_windows(min_words), "did long, mark long, i long, size long"))
+    windows = materialize(lines.mapInArrow(_windows(min_words), "did long, mark long, i long, size long"), files)
     deepest = windows.agg(F.max("size")).first()[0] or 0
     named, k = None, 1
     while k <= deepest:
-        # windows of k lines up to 2k - 1 are two names of k lines
+        # a window of k to 2k - 1 lines: the interval of its first k lines and that of its last k
         mine = windows.where((F.col("size") >= k) & (F.col("size") < 2 * k))
-        names = level.select(*KEY, "i", "name")
-        tail = names.select(*KEY, (F.col("i") + k).alias("end"), F.col("name").alias("tail"))
-        part = mine.join(names, [*KEY, "i"]).withColumn("end", F.col("i") + F.col("size")).join(tail, [*KEY, "end"]).select(*KEY, "i", "size", F.xxhash64("size", "name", "tail").alias("name"))
-        part = materialize(part)
+        ranks = level.select(*KEY, F.col("i").cast("long").alias("i"), "rank")
+        tail = ranks.select(*KEY, (F.col("i") + k).alias("end"), F.col("rank").alias("tail"))
+        part = mine.join(ranks, [*KEY, "i"]).withColumn("end", F.col("i") + F.col("size")).join(tail, [*KEY, "end"]).select(*KEY, "i", "size", "rank", "tail")
+        part = materialize(part, files)
         named = part if named is None else named.unionByName(part)
         if 2 * k > deepest:
             break
         order = Window.partitionBy(*KEY).orderBy("i")
-        ahead = level.select(*KEY, "i", "name", F.max(F.struct("i", "name")).over(order.rangeBetween(k, k)).alias("ahead"))
-        doubled = ahead.where(F.col("ahead.i") == F.col("i") + k).select(*KEY, "i", F.xxhash64("name", "ahead.name").alias("name"))
-        next_ = materialize(_repeated(doubled).select(*KEY, "i", "name"))
+        ahead = ranks.withColumn("ahead", F.max(F.struct("i", "rank")).over(order.rangeBetween(k, k)))
+        next_ = _ranked(ahead.where("ahead is not null").select(*KEY, "i", F.col("rank").alias("a"), F.col("ahead.rank").alias("b")), files)
         discard(level)
         level, k = next_, 2 * k
     if named is None:
-        return windows.limit(0)
-    first = named.groupBy("name").agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "i")).alias("first")).where("times > 1")
-    return named.join(first, "name").where(F.struct(*KEY, "i") != F.col("first")).select(*KEY, "i", "size")
-
-
-def _without(columns: list[str]):
-    """For mapInArrow: rows with ``gone`` windows; the text without their lines, and the number of lines before and deleted."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        named = windows.select("*", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("tail")).limit(0)
+    interval = ["size", "rank", "tail"]
+    first = materialize(named.groupBy(*interval).agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "i")).alias("first")).where("times > 1").drop("times"), files)
+    later = named.join(_sized(first), interval).where(F.struct(*KEY, "i") != F.col("first"))
+    gone = later.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("i", "size"))).alias("windows"))
+    return gone.mapInArrow(_joined, "did long, mark long, runs array<struct<i: long, size: long>>")
+
+
+def _without(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, text, runs): the row, the text without the lines of the runs, and the number of lines before and deleted."""
+    for whole in it:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
             texts, before, gone = [], [], []
-            for text, windows in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
-                lines = (text or "").split("\n")
+            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                lines = text.split("\n")
                 keep = np.ones(len(lines), bool)
-                for w in windows:
+                for w in runs:
                     keep[w["i"] : w["i"] + w["size"]] = False
                 texts.append("\n".join(x for x, k in zip(lines, keep, strict=True) if k))
                 before.append(len(lines))
                 gone.append(int((~keep).sum()))
-            new = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(before, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c) if c in batch.schema.names else None) for c in columns], names=columns)
-
-    return run
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(before, pa.int64()), pa.array(gone, pa.int64())], names=["row", "text", "n_lines", "n_removed"])
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -133,15 +185,14 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     comes before all. Columns named ``n_lines`` or ``n_removed`` are replaced; an empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_removed")
-    runs = materialize(repeated_runs(docs, min_words))
-    gone = runs.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("i", "size"))).alias("_gone"))
+    rows = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("text").cast("string").alias("text")))
+    gone = materialize(repeated_runs(docs.select("doc_id", "text"), min_words), files_for(docs.sparkSession))
     # only documents that may have deletions are shuffled with their texts
-    keyed = _keyed(docs).withColumn("_place", F.xxhash64(*KEY))
-    some, others = bitmap_split(keyed, "_place", runs.select(F.xxhash64(*KEY).alias("_place")))
-    columns = [*docs.columns, "n_lines", "n_removed"]
-    untouched = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long"), "n_removed": F.lit(0).cast("long")}
+    some, others = bitmap_split(rows.withColumn("place", F.xxhash64(*KEY)), "place", gone.select(F.xxhash64(*KEY)))
     met = some.join(gone, KEY, "left")
-    schema = met.select(*docs.columns).schema.add("n_lines", "long").add("n_removed", "long")
-    changed = met.where("_gone is not null").select(*docs.columns, "_gone").mapInArrow(_without(columns), schema)
-    same = met.where("_gone is null").select(*docs.columns).withColumns(untouched)
-    return changed.unionByName(same.select(*columns)).unionByName(others.select(*docs.columns).withColumns(untouched).select(*columns))
+    changed = met.where("runs is not null").select("row", "text", "runs")
+    schema = changed.select("row", "text").schema.add("n_lines", "long").add("n_removed", "long")
+    untouched = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long"), "n_removed": F.lit(0).cast("long")}
+    same = met.where("runs is null").select("row", "text").unionByName(others.select("row", "text")).withColumns(untouched)
+    out = changed.mapInArrow(_without, schema).unionByName(same)
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], "n_lines", "n_removed")

@@ -1,6 +1,7 @@
 import random
 
-from glyphmill.llm.line_dedup import dedup_lines
+from glyphmill.llm import line_dedup
+from glyphmill.llm.line_dedup import dedup_lines, repeated_runs
 
 SCHEMA = "doc_id long, text string, n_lines string, i int"
 
@@ -50,3 +51,30 @@ def test_edges(spark):
     long = "\n".join(f"line {i} of it" for i in range(40))
     got = dedup_lines(spark.createDataFrame([(1, long, "", 0), (1, long, "", 0), (2, long + "\nmore", "", 0), (None, "zz", "", 0)], SCHEMA)).collect()
     assert sorted((x.doc_id or 0, x.text) for x in got) == [(0, "zz"), (1, long), (1, long), (2, "more")]
+
+
+def test_long_document_and_hot_line(spark):
+    """A text of many lines whose half is repeated, a line that most documents have many times, and columns named like the operator's own."""
+    r = random.Random(11)
+    long = [f"a{r.randrange(300)} b{r.randrange(300)} c" for _ in range(240)]
+    docs = [(1, "\n".join(long)), (2, "\n".join(["new first line", *long[120:], "new last line", *long[40:60]]))]
+    docs += [(10 + d, "\n".join(["hot line"] * (d % 7) + [f"own {d} {k}" for k in range(3)] + ["hot line"] * (d % 40))) for d in range(300)]
+    frame = spark.createDataFrame([(d, t, d, str(d)) for d, t in docs], "doc_id long, text string, mark long, row string").repartition(5)
+    got = dedup_lines(frame, min_words=20).collect()
+    assert {x.doc_id: x.text for x in got} == brute(docs, 20)
+    assert all(x.mark == x.doc_id and x.row == str(x.doc_id) for x in got)
+
+
+def test_runs_are_maximal(spark):
+    a = "\n".join(f"line {i} of it" for i in range(40))
+    runs = repeated_runs(spark.createDataFrame([(1, a), (2, "x\n" + a + "\ny")], "doc_id long, text string")).collect()
+    assert [(x.did, [tuple(w) for w in x.runs]) for x in runs] == [(2, [(1, 40)])]
+
+
+def test_a_large_table_of_ranks_is_joined(spark, monkeypatch):
+    """Beyond the bound of broadcasts, joins shuffle; the result is the same."""
+    monkeypatch.setattr(line_dedup, "SMALL", 0)
+    text = "\n".join(f"line {i} of it" for i in range(40))
+    docs = [(1, text), (2, text), (3, "a\n" + text)]
+    got = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.text for x in got} == brute(docs, 50)
