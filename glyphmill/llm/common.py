@@ -49,6 +49,14 @@ def materialize(df: DataFrame, files: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Hold the session's Arrow batches to ``size`` bytes (64 MB by default), as rows may hold long texts and each task has a batch on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, str(64 << 20)).rstrip("b")
+    if not held.isdigit() or int(held) > size:
+        spark.conf.set(key, str(size))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the scratch files of a materialized table that nothing reads any more."""
     spark = df.sparkSession

@@ -1,19 +1,27 @@
-"""Byte-level BPE ids, equal to those of the ``tokenizers`` file of the same vocabulary, and their byte lengths."""
+"""Byte-level BPE ids, equal to those that ``tokenizers`` gives with the same file and ``add_special_tokens=False``, and their spans."""
 
 from __future__ import annotations
 
-import base64
+import json
+import re
 from collections import defaultdict
 from functools import lru_cache
 from itertools import count, islice
 
 import numpy as np
 
-MAX_KNOWN = 600_000
+MAX_KNOWN = 200_000  # words kept in a worker's table, which begins anew beyond it
+
+
+def _bytes_of_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable ones themselves, the others in order from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class ByteBpe:
-    """Encodes whole texts; strings of special tokens in a text are ordinary text.
+    """Encodes whole texts. The file's added tokens are found in texts, as ``tokenizers`` does, and what is between them is encoded apart.
 
     Where single spaces and line ends are all the white space, and none is at either end, each of
     them starts a piece of its own in the vocabulary's splitting pattern. Such texts are put
@@ -25,15 +33,28 @@ class ByteBpe:
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._whole = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.byte_lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        for piece, i in ranks.items():
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        byte_of = _bytes_of_letters()
+        added = {x["content"]: x["id"] for x in file["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in piece): i for piece, i in file["model"]["vocab"].items() if piece not in added}
+        self._plain = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._added = added
+        self._split = re.compile("|".join(f"({re.escape(x)})" for x in sorted(added, key=len, reverse=True))) if added else None
+        self.byte_lengths = np.zeros(max([*ranks.values(), *added.values()]) + 1, np.int64)
+        for piece, i in [*ranks.items(), *((x.encode(), i) for x, i in added.items())]:
             self.byte_lengths[i] = len(piece)
         self._line_end = self._whole("\n")[0]
         self._forget()
 
+    def _whole(self, text: str) -> list[int]:
+        if self._split is None or not self._split.search(text):
+            return self._plain(text)
+        out: list[int] = []
+        for part in self._split.split(text):
+            out += [self._added[part]] if part in self._added else self._plain(part or "")
+        return out
+
     def _forget(self) -> None:
         self._known: dict[str, int] = defaultdict(count().__next__)  # a word to its number, by first sight
         self._flat = np.zeros(1 << 16, np.uint32)
@@ -68,7 +89,7 @@ class ByteBpe:
         counts, odd = [], {}
         for i, t in enumerate(texts):
             mine = t.replace("\n", " \n").split(" ")
-            if t.replace("\n", " ").split(" ") != t.split():
+            if t.replace("\n", " ").split(" ") != t.split() or (self._split and self._split.search(t)):
                 odd[i] = np.array(self._whole(t), np.uint32)
                 counts.append(0)
             else:
@@ -99,7 +120,7 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)

@@ -11,13 +11,12 @@ SCHEMA = "doc_id long, text string, offset int"
 
 def reference():
     t = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
 TEXTS = [
     "", " ", "a", "Hello world", " lead", "trail ", "two  spaces", "three   x", "tab\tand\nline", "\n\nx", "a\n b", "a \nb", "it's we'll 12 34,5 !? é ü x y",
-    "x\x1cy \x1c z", "<|endoftext|> a", "日本語 テキスト", "🙂 ok\n🙂", "a\r\nb", "x" * 300, "\x85a \x85", "a\n\nb c", "end\n",
+    "x\x1cy \x1c z", "<|endoftext|> a", "hello <|endoftext|> you", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n", "<|endoftext|", "日本語 テキスト", "🙂 ok\n🙂", "a\r\nb", "x" * 300, "\x85a \x85", "a\n\nb c", "end\n",
 ]
 
 
@@ -62,3 +61,21 @@ def test_packing_holds_every_id_once(spark):
         inside = sorted((x.offset, x.length) for x in got if x.sequence_id == s)
         assert [o for o, _ in inside] == [sum(n for _, n in inside[:k]) for k in range(len(inside))] and sum(n for _, n in inside) <= 2048
     assert pack(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_null_ids_and_long_documents(spark):
+    """Repeated and null ids are dealt over all groups; a long document's full pieces are sequences by themselves."""
+    long = " ".join(f"w{k % 977}" for k in range(30_000))
+    rows = [(7, "same text", 0)] * 400 + [(None, "no id", 0)] * 50 + [(8, long, 0)]
+    got = pack(spark.createDataFrame(rows, SCHEMA).repartition(3), group=40).collect()
+    ids = [*reference()(long), 1]
+    mine = sorted((x for x in got if x.doc_id == 8), key=lambda x: x.start)
+    assert np.frombuffer(b"".join(x.ids for x in mine), "<u4").tolist() == ids
+    full = [x for x in mine if x.length == 2048]
+    assert len(full) == len(ids) // 2048 and len({x.sequence_id for x in full}) == len(full)
+    assert not {x.sequence_id for x in full} & {x.sequence_id for x in got if x.length < 2048}
+    assert sum(x.doc_id == 7 for x in got) == 400 and sum(x.doc_id is None for x in got) == 50
+    assert len({x.sequence_id for x in got if x.doc_id == 7}) > 3
+    for s in {x.sequence_id for x in got}:
+        inside = sorted((x.offset, x.length) for x in got if x.sequence_id == s)
+        assert [o for o, _ in inside] == [sum(n for _, n in inside[:k]) for k in range(len(inside))] and sum(n for _, n in inside) <= 2048
