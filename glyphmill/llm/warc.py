@@ -27,7 +27,7 @@ RECORD = "page_id long, payload_bytes long, payload_digest string, record_type s
 
 
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", path)))
 
 
 def _headers(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -57,15 +57,16 @@ def _member(page: int | None, url: str | None, html: bytes, digest: str, refers:
 
 
 def write_archives(pages: DataFrame, path: str) -> DataFrame:
-    """Write a record for each row of ``pages`` (``page_id``, ``url``, ``html``) below ``path``; returns (``file``, ``records``).
+    """Write a record for each row of ``pages`` (``page_id``, ``url``, ``html``) below ``path``; returns (``path``, ``length``, ``records``).
 
     The payload is the html in UTF-8, empty for null. Of equal payloads of at least 100 bytes the one
     with the smallest page_id is a response and the others are revisits of it; smaller ones are all
     responses, and so is every row of that smallest page_id if it is repeated. A null page_id is
     written under a generated record id and read as null; it comes after all others, so such a page
     is a revisit of an equal payload's smallest page_id and a response if there is none. Each task
-    writes one file under a name of its own and renames it when it is whole, so a task that runs
-    again does no harm.
+    writes one file under a name of its own and renames it when it is whole. The returned table is the
+    manifest: it is committed with Spark's own rules and names one file for each task, so what a
+    failed, lost or speculative attempt has left below ``path`` is in no row of it and is not read.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("html"))
     seen = rows.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= MIN_REVISIT)
@@ -87,9 +88,9 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
         if out is not None:
             out.close()
             files.move(inner + ".part", inner)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "records"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([files.get_file_info(inner).size], pa.int64()), pa.array([n], pa.int64())], names=["path", "length", "records"])
 
-    return materialize(digested.mapInArrow(run, "file string, records long"))
+    return materialize(digested.mapInArrow(run, "path string, length long, records long"))
 
 
 class _Member:
@@ -145,15 +146,20 @@ def _unquoted(url: str | None) -> str | None:
     return None if url is None else re.sub(rb"%([0-9A-F]{2})", lambda m: bytes([int(m[1], 16)]), url.encode()).decode("utf-8", "replace")
 
 
-def read_archives(spark: SparkSession, path: str, split_bytes: int = 4 << 20) -> DataFrame:
-    """Records (``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``url``, ``payload``) of the archives below ``path``.
+def read_archives(spark: SparkSession, archives: DataFrame | str, split_bytes: int = 16 << 20) -> DataFrame:
+    """Records (``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``url``, ``payload``) of ``archives``.
 
+    ``archives`` is a manifest (``path``, ``length``), or a folder all of whose ``*.warc.gz`` are read.
     Bytes and digest of a response are those of its payload as read; a revisit has no payload and
-    they are those its header states. Ranges of ``split_bytes`` are dealt evenly, whatever the sizes
-    of the files. Bytes that look like a member but don't decode to a whole record are passed over.
+    they are those its header states. Ranges of ``split_bytes`` are dealt evenly, a task for each up
+    to 100,000, whatever the sizes of the files. Bytes that look like a member but don't decode to a
+    whole record are passed over.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "length")
-    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
+    if isinstance(archives, str):
+        archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(archives)
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
+    ranges = archives.select("path", "length", F.explode(starts).alias("start"))
+    tasks = archives.select(F.sum(F.size(starts))).first()[0] or 1
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +182,7 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = 4 << 20) ->
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(run, RECORD)
+    return ranges.repartition(min(int(tasks), 100_000)).mapInArrow(run, RECORD)
 
 
 def _row(fields: dict) -> dict:
@@ -196,11 +202,11 @@ def _row(fields: dict) -> dict:
 
 def archive(pages: DataFrame) -> DataFrame:
     """Write ``pages`` to archives in the shared scratch folder and read them back; fails unless as many records are read as were written."""
-    path = scratch_dir(pages.sparkSession) + "-warc"
-    records = write_archives(pages, path).agg(F.sum("records")).first()[0]
+    manifest = write_archives(pages, scratch_dir(pages.sparkSession) + "-warc")
+    records = manifest.agg(F.sum("records")).first()[0]
     if not records:
         return pages.sparkSession.createDataFrame([], RECORD)
-    rows = materialize(read_archives(pages.sparkSession, path))
+    rows = materialize(read_archives(pages.sparkSession, manifest))
     if (found := rows.count()) != records:
-        raise RuntimeError(f"{records} records were written below {path} and {found} were read")
+        raise RuntimeError(f"{records} records were written and {found} were read")
     return rows

@@ -79,3 +79,31 @@ def test_pages_without_an_id(spark):
     want = [(i, len(t or ""), sha(t), *(("revisit", 7) if t == shared and i != 7 else ("response", None)), u) for i, u, t, *_ in rows]
     assert sorted((tuple(x)[:6] for x in got), key=str) == sorted(want, key=str)
     assert all(bytes(x.payload) == ({u: t for _, u, t, *_ in rows}[x.url] or "").encode() for x in got if x.record_type == "response")
+
+
+def test_files_of_other_attempts_are_not_read(spark, tmp_path, monkeypatch):
+    """A task that failed after its rename has left a whole archive: the manifest does not name it."""
+    rows, frame = pages(spark)
+    path = f"file://{tmp_path}"
+    manifest = write_archives(frame, path)
+    first = next(tmp_path.glob("*.warc.gz"))
+    (tmp_path / "part-again.warc.gz").write_bytes(first.read_bytes())
+    (tmp_path / "part-half.warc.gz.part").write_bytes(first.read_bytes()[:500])
+    got = read_archives(spark, manifest)
+    assert len(got.collect()) == len(rows) and {tuple(x)[:5] for x in got.collect()} == brute(rows)
+    assert read_archives(spark, path).count() > len(rows)
+    monkeypatch.setattr(warc, "scratch_dir", lambda _: f"{path}/x")
+    assert {tuple(x)[:5] for x in archive(frame).collect()} == brute(rows)
+
+
+def test_ranges_are_read_by_many_tasks(spark):
+    frame = pages(spark)[1]
+    manifest = write_archives(frame, scratch_dir(spark))
+    ranges = sum(-(-x.length // 40_000) for x in manifest.collect())
+    assert read_archives(spark, manifest, 40_000).rdd.getNumPartitions() == ranges > 3
+
+
+def test_repeated_rows(spark):
+    rows = [(3, "u", "q" * 200, "x", 1), (3, "u", "q" * 200, "x", 1), (4, "u", "q" * 200, "x", 1), (4, "u", "q" * 200, "x", 1)]
+    got = archive(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((x.page_id, x.record_type, x.refers_to or 0) for x in got) == [(3, "response", 0)] * 2 + [(4, "revisit", 3)] * 2
