@@ -1,5 +1,7 @@
 import re
+import time
 
+from glyphmill.llm import urls
 from glyphmill.llm.queries import URL_RULES
 from glyphmill.llm.urls import Cascade, judge_urls
 
@@ -34,12 +36,42 @@ def test_empty(spark):
     assert judge_urls(spark.createDataFrame([(1, "http://com/en/")], "page_id long, url string"), []).collect()[0].verdict == "allow"
 
 
-def test_cascade_is_exact_with_many_levels(spark):
+def test_cascade_is_exact_with_many_levels(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     universe = spark.range(20000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = spark.range(0, 20000, 7).select(F.concat(F.lit("k"), "id").alias("key"))
+    for name, value in (("LEAST_BITS", 64), ("BITS_PER_KEY", 4), ("PAGE", 1 << 10)):
+        monkeypatch.setattr(urls, name, value)
     cascade = Cascade(listed, universe)
     assert len(cascade.levels) > 2
     got = {r.key for r in universe.where(cascade.holds(F.col("key"))).collect()}
     assert got == {r.key for r in listed.collect()}
+
+
+def test_a_long_list_has_no_bound(spark):
+    from pyspark.sql import functions as F
+
+    n = (1 << 20) + 5
+    cascade = Cascade(spark.range(n).select(F.concat(F.lit("k"), "id")), spark.range(2 * n).select(F.concat(F.lit("k"), "id")))
+    universe = spark.range(2 * n).select("id", F.concat(F.lit("k"), "id").alias("key"))
+    assert universe.where(cascade.holds(F.col("key")) != (F.col("id") < n)).count() == 0
+
+
+def test_long_hosts(spark):
+    hosts = ["a." * 16_000 + "com", "b" * 100_000 + ".org", "." * 5000]
+    pages = spark.createDataFrame([(i, f"http://{h}/en/") for i, h in enumerate(hosts)], "page_id long, url string")
+    judge_urls(pages, URL_RULES).collect()
+    at = time.perf_counter()
+    judged = judge_urls(pages, URL_RULES)
+    built = time.perf_counter() - at
+    got = {r.page_id: (r.rule, r.verdict) for r in judged.collect()}
+    assert got == {i: brute(f"http://{h}/en/")[2:] for i, h in enumerate(hosts)}
+    assert time.perf_counter() - at - built < 2
+    assert "Python" not in judged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rules_as_a_table(spark):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    assert {tuple(r) for r in judge_urls(pages, rules).collect()} == {(i, *brute(u)) for i, u in enumerate(URLS)}
