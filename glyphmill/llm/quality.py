@@ -22,7 +22,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with the columns ``stats`` (struct): the counts that rules stand on. Words are runs other than space and 09-0D; null text has none.
 
     Everything is computed within the row, from arrays that are sorted rather than compared pairwise,
-    so a text of any length takes n log n time and nothing is shuffled.
+    so a text of any length takes n log n time and nothing is shuffled. Windows of equal hashes count
+    as repeated if their words are equal too.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")
@@ -31,18 +32,16 @@ def statistics(docs: DataFrame) -> DataFrame:
     n = F.size("_w")
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
     b = a.select("*", n.cast("long").alias("_n"), windows.alias("_h"))
-    # hash and place in one number, so that equal windows come to stand together; only where any are equal
-    c = b.select("*", F.ceil(F.log2(F.greatest(F.size("_h"), F.lit(2)))).cast("int").alias("_b"), (F.size(F.array_distinct("_h")) < F.size("_h")).alias("_any"))
-    placed = F.transform("_h", lambda h, i: F.call_function("shiftleft", h, F.col("_b")).bitwiseOR(i.cast("long")))
-    d = c.select("*", F.sort_array(F.when(F.col("_any"), placed).otherwise(F.array().cast("array<bigint>"))).alias("_s"))
+    # hash and place, so that equal windows come to stand together; only where any are equal
+    c = b.select("*", (F.size(F.array_distinct("_h")) < F.size("_h")).alias("_any"))
+    placed = F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    d = c.select("*", F.sort_array(F.when(F.col("_any"), placed).otherwise(F.slice(placed, 1, 0))).alias("_s"))
 
     def same(x: Column, y: Column) -> Column:
-        return F.call_function("shiftrightunsigned", x.bitwiseXOR(y), F.col("_b")) == 0
+        words = [F.get("_w", x["i"] + k) == F.get("_w", y["i"] + k) for k in range(3)]
+        return F.coalesce((x["h"] == y["h"]) & words[0] & words[1] & words[2], F.lit(False))
 
-    def place(x: Column) -> Column:
-        return x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_b")) - 1).cast("int")
-
-    twice = F.transform("_s", lambda x, i: F.when(same(x, F.get("_s", i - 1)) | same(x, F.get("_s", i + 1)), place(x)))
+    twice = F.transform("_s", lambda x, i: F.when(same(x, F.get("_s", i - 1)) | same(x, F.get("_s", i + 1)), x["i"]))
     e = d.select("*", F.sort_array(F.filter(twice, lambda p: p.isNotNull())).alias("_p"))
     covered = F.aggregate("_p", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-3).alias("last")), lambda s, p: F.struct((s["sum"] + F.least(F.lit(3), p - s["last"])).alias("sum"), p.alias("last")), lambda s: s["sum"])
     stats = F.struct(
@@ -145,14 +144,16 @@ def learn(rows: list[dict], max_rules: int = 8, max_conditions: int = 3, cuts: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DecisionList:
-    """Learn from at most ``max_labelled`` labelled documents, the first by a hash of their ids (the documented bound).
+    """Learn from at most ``max_labelled`` rows, the first by a hash of their ids (the documented bound).
 
-    Only a label's own statistics reach the driver: eight numbers a row. Rows that the base rules
-    already reject, and labels that are null, do not count. Without labels the list is empty.
+    Only a label's own statistics reach the driver: eight numbers a row; the bound holds after the
+    join too, where ids may repeat. Rows that the base rules already reject, and labels that are
+    null, do not count. Without labels the list is empty.
     """
-    chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").alias("_quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "_quality").limit(max_labelled)
+    first = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id", "_quality").limit(max_labelled)
+    chosen = first(labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").alias("_quality")))
     rows = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).where(~base_failed(F.col("stats")))
-    got = rows.select("doc_id", F.when(F.col("_quality") == 0, 1).otherwise(0).alias("bad"), *[v.alias(k) for k, v in features(F.col("stats")).items()]).collect()
+    got = first(rows.select("doc_id", "_quality", F.when(F.col("_quality") == 0, 1).otherwise(0).alias("bad"), *[v.alias(k) for k, v in features(F.col("stats")).items()])).drop("_quality").collect()
     return learn([r.asDict() for r in sorted(got, key=lambda r: (hash(r.doc_id * 0x9E3779B97F4A7C15 & 0xFFFFFFFF), r.doc_id, r.bad))])
 
 
