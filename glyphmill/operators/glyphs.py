@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import patterns as P
+from glyphmill.operators import fit
+from glyphmill.operators.fit import WEIGHTS
 
 MAX_GLYPHS = 4096
 
@@ -138,69 +140,73 @@ def kmeans_glyphs(counts: DataFrame, n: int, weight: str = "cnt", seed: int = 42
 def glyph_medoids(counts: DataFrame, n: int, weight: str = "cnt", seed: int = 42) -> DataFrame:
     """(``pattern``, ``first``): the medoid of each of n clusters, and its number, from weighted k-means on structure features.
 
-    Features are the normalised edges and density times 0.1 and the row bytes times 10. Up to n
-    distinct patterns are taken as they are.
+    Features are edges, density and row bytes, each normalised over the patterns, times 0.1, 0.1 and
+    10. Up to n distinct patterns are taken as they are.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     if counts.count() <= n:
         return counts.select("pattern", F.lit(0).alias("first"))
     if n == 1:  # k-means needs two clusters
         found = counts.select("pattern", F.lit(0).alias("prediction"))
     else:
-        raw = [F.transform(P.edge_descriptor("pattern"), lambda x: x * 0.1), F.transform(P.density("pattern"), lambda x: x * 0.1), F.array(*[P.row_byte("pattern", r) / 255.0 * 10.0 for r in range(8)])]
-        data = counts.select("pattern", F.col(weight).cast("double").alias("w"), array_to_vector(F.concat(*raw)).alias("features"))
-        found = KMeans(k=n, seed=seed, weightCol="w").fit(data).transform(data)
+        found = _clustered(structure_features(counts, weight), n, seed)
     return cluster_medoid(found.select("prediction", "pattern", F.col("pattern").alias("at")), "prediction", "at").select("pattern", F.col("prediction").alias("first"))
 
 
-def hq_assign(pixels: np.ndarray, fg: np.ndarray, bg: np.ndarray, glyphs: np.ndarray, k: int = 3) -> np.ndarray:
-    """Best (glyph, fg, bg, invert) of each tile by squared error over the ``k`` nearest colours of each role.
+def structure_features(counts: DataFrame, weight: str) -> DataFrame:
+    """(``pattern``, ``w``, ``features``): 89 columns, normalised by one aggregate, as a vector."""
+    from pyspark.ml.functions import array_to_vector
+
+    parts = {"e": P.edge_descriptor("pattern"), "d": P.density("pattern"), "b": F.array(*[P.row_byte("pattern", r).cast("double") for r in range(8)])}
+    sizes = {"e": 64, "d": 17, "b": 8}
+    wide = counts.select("pattern", F.col(weight).cast("double").alias("w"), *[v.alias(k) for k, v in parts.items()])
+    flat = wide.select("pattern", "w", *[F.col(k)[i].alias(f"{k}{i}") for k, n in sizes.items() for i in range(n)])
+    scaled = zscore(flat, [f"{k}{i}" for k, n in sizes.items() for i in range(n)])
+    columns = [F.col(f"{k}{i}") * x for (k, n), x in zip(sizes.items(), WEIGHTS, strict=True) for i in range(n)]
+    return scaled.select("pattern", "w", array_to_vector(F.array(*columns)).alias("features"))
+
+
+def _clustered(data: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    from pyspark.ml.clustering import KMeans
+
+    return KMeans(k=n, seed=seed, weightCol="w").fit(data).transform(data)
+
 
-    ``pixels`` (n, 64, 3), palettes (m, 3) with entry 0 never chosen, ``glyphs`` (g, 64) of 0 and 1.
-    For a pair of colours the error is that of all background plus, for each set bit, what the
-    foreground gains there, so all glyphs come from one product. Order at ties: foreground rank,
-    background rank, glyph, normal before inverted. A flat tile is glyph 0 in its nearest background.
+def perceptual_glyphs(stats: DataFrame, n: int, fg: np.ndarray, bg: np.ndarray, candidates: int = 2, seed: int = 42) -> np.ndarray:
+    """``n`` glyphs, the empty one first, of ``stats`` (``pattern``, ``cnt``, ``first``, ``mean`` of 64 x 3 Oklab values): clustered in Oklab, and of each cluster the candidate that draws it best.
+
+    Candidates are the members nearest the centre and the Hamming medoid. They are at most three a
+    cluster and sent to all tasks; costs are summed where the members are, so no cluster is gathered.
     """
-    out = np.zeros((len(pixels), 4), np.int64)
-    bits = glyphs.astype(np.float64)
-
-    def nearest(palette: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
-        return 1 + np.argsort(((palette[1:] - c) ** 2).sum(axis=1), kind="stable")[:n]
-
-    for t, px in enumerate(pixels.astype(np.float64)):
-        if (px == px[0]).all():
-            c = nearest(bg, px[0], 1)[0]
-            out[t] = (0, c, c, 0)
-            continue
-        lum = px @ np.array([299, 587, 114])
-        up = lum >= np.median(lum)
-        mean = px.mean(axis=0)
-        fs, bs = nearest(fg, px[up].mean(axis=0) if up.any() else mean, k), nearest(bg, px[~up].mean(axis=0) if (~up).any() else mean, k)
-        best = (np.inf, (0, fs[0], bs[0], 0))
-        for f in fs:
-            for b in bs:
-                if (fg[f] == bg[b]).all():
-                    continue
-                ef, eb = ((px - fg[f]) ** 2).sum(axis=1), ((px - bg[b]) ** 2).sum(axis=1)
-                gain = bits @ (ef - eb)
-                both = np.stack([eb.sum() + gain, ef.sum() - gain], axis=1).ravel()
-                at = int(both.argmin())
-                if both[at] < best[0]:
-                    best = (both[at], (at // 2, f, b, at % 2))
-        out[t] = best[1]
-    return out
-
-
-def hq_assign_tiles(tiles: DataFrame, fg: np.ndarray, bg: np.ndarray, glyphs: np.ndarray, k: int = 3) -> DataFrame:
-    """``hq_assign`` over (``frame_idx``, ``tile_idx``, ``px`` of 192 RGB bytes); palettes and glyphs are small arrays sent once."""
-    shared = tiles.sparkSession.sparkContext.broadcast((fg, bg, glyphs))
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in it:
-            px = np.frombuffer(b"".join(part["px"]), np.uint8).reshape(-1, 64, 3)
-            got = hq_assign(px, *shared.value, k)
-            yield pd.DataFrame({"frame_idx": part["frame_idx"], "tile_idx": part["tile_idx"], "medoid_id": got[:, 0], "fg_idx": got[:, 1], "bg_idx": got[:, 2], "invert": got[:, 3]})
+    from pyspark.ml.functions import array_to_vector
+
+    total = stats.count()
+    if total < n:
+        return fit.zero_first(fit.padded(np.array([r.pattern for r in stats.orderBy("first").select("pattern").collect()], np.int64), n))
+    rows = zscore(stats.select("pattern", "cnt", "mean", *[P.row_byte("pattern", r).cast("double").alias(f"b{r}") for r in range(8)]), [f"b{r}" for r in range(8)])
+    features = F.concat(F.transform("mean", lambda x: x * fit.PERCEPTUAL_WEIGHT), F.array(*[F.col(f"b{r}") for r in range(8)]))
+    data = rows.select("pattern", "cnt", F.col("cnt").cast("double").alias("w"), "mean", features.alias("x"), array_to_vector(features).alias("features"))
+    from pyspark.ml.clustering import KMeans
 
-    return tiles.select("frame_idx", "tile_idx", "px").mapInPandas(run, "frame_idx int, tile_idx int, medoid_id int, fg_idx int, bg_idx int, invert int")
+    model = KMeans(k=n, seed=seed, weightCol="w").fit(data)
+    members = model.transform(data).select("pattern", "cnt", "mean", "x", F.col("prediction").alias("cluster"))
+    centres = members.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
+    far = F.aggregate(F.zip_with("x", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    ranked = members.join(F.broadcast(centres), "cluster").withColumn("far", far)
+    near = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy("far", "pattern"))).where(F.col("rank") <= candidates).select("cluster", "pattern")
+    medoid = cluster_medoid(members.select("cluster", "pattern", F.col("pattern").alias("at")), "cluster", "at").select("cluster", "pattern")
+    options: dict[int, list[int]] = {}
+    for r in near.union(medoid).distinct().collect():  # at most three a cluster
+        options.setdefault(r.cluster, []).append(r.pattern)
+    shared = members.sparkSession.sparkContext.broadcast(({k: np.array(sorted(v), np.int64) for k, v in options.items()}, fg, bg))
+
+    def drawn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        options, fg, bg = shared.value
+        for part in it:
+            for k, own in part.groupby("cluster"):
+                means = np.stack(own["mean"].to_numpy()).reshape(-1, 64, 3)
+                cost = sum((fit.costs(options[k], means[a : a + 256], fg, bg) * own["cnt"].to_numpy()[a : a + 256, None]).sum(axis=0) for a in range(0, len(means), 256))
+                yield pd.DataFrame({"cluster": k, "pattern": options[k], "cost": cost})
+
+    cost = members.select("cluster", "cnt", "mean").mapInPandas(drawn, "cluster int, pattern long, cost double").groupBy("cluster", "pattern").agg(F.sum("cost").alias("cost"))
+    best = {r.cluster: r.m.pattern for r in cost.groupBy("cluster").agg(F.min(F.struct("cost", "pattern")).alias("m")).collect()}
+    return fit.zero_first(np.array([best.get(k, 0) for k in range(n)], np.int64))

@@ -1,20 +1,31 @@
-"""Encoding plans: one palette and font set for all frames (global), fonts by frame (hybrid), or both by frame (frame)."""
+"""Encoding plans: one palette and font set for all frames (global), fonts by frame (hybrid), or both by frame (frame).
+
+A frame is encoded inside one task from its image: nothing of a frame is shuffled. What all frames
+share is fitted before, from rows that each task has counted for its frames: distinct colours, and
+distinct patterns with their counts. Models are small arrays sent to all tasks.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import patterns as P
-from glyphmill.functions import words as W
+from glyphmill.operators import fit
+from glyphmill.operators import frames as K
 from glyphmill.operators import glyphs as G
 from glyphmill.operators import palettes as C
-from glyphmill.sources import container as K
+from glyphmill.sources import container
 from glyphmill.sources import images as I
 
+GLOBAL_GLYPHS, FRAME_GLYPHS = 1024, 512
+CELLS = 4800
+
 
 @dataclass(frozen=True)
 class Config:
@@ -25,79 +36,122 @@ class Config:
     denoise: int = 0
     high_quality: bool = False
     crop: bool = False
+    split_palette: bool = False
+    four_luts: bool = False
 
     def __post_init__(self) -> None:
         if self.mode not in ("global", "hybrid", "frame"):
             raise ValueError(f"no mode {self.mode}")
+        if self.mode == "frame" and self.four_luts:
+            raise ValueError("four colour tables cannot be used where each frame has its own")
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Colour tables (256, 3) of each role: one, or two."""
+
+    fg: list[np.ndarray]
+    bg: list[np.ndarray]
+
+    def oklab(self, all_of_them: bool) -> tuple[np.ndarray, np.ndarray]:
+        """What glyphs are scored with: without entry 0, of both tables or of the first."""
+        use = slice(None) if all_of_them else slice(1)
+        return tuple(fit.oklab(np.concatenate([t[1:] for t in role[use]])) for role in (self.fg, self.bg))
 
 
-def pixels(tiles: DataFrame) -> DataFrame:
-    """(``frame_idx``, ``tile_idx``, ``pos``, ``r``, ``g``, ``b``)."""
-    byte = lambda k: F.conv(F.hex(F.substring("px", F.col("pos") * 3 + k + 1, 1)), 16, 10).cast("int")
-    at = tiles.select("frame_idx", "tile_idx", "px", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("pos"))
-    return at.select("frame_idx", "tile_idx", "pos", byte(0).alias("r"), byte(1).alias("g"), byte(2).alias("b"))
+def per_frame(frames: DataFrame, crop: bool, work: Callable[[int, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """Rows that ``work`` makes of each frame's number and tiles (4800, 64, 3); an image at a time in each task."""
 
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in it:
+            for r in part.itertuples():
+                px = I.cut(I.canvas(I.to_rgb(r.data, r.height, r.width, r.n_channels), crop)).reshape(-1, 64, 3)
+                yield work(r.frame_idx, px)
 
-def tile_patterns(px: DataFrame) -> DataFrame:
-    """(``frame_idx``, ``tile_idx``, ``pattern``, ``fg``, ``bg``, ``flat``): integer luminance split at the median, and mean colours by side."""
-    lum = px.withColumn("lum", F.col("r") * 299 + F.col("g") * 587 + F.col("b") * 114)
-    both = lum.groupBy("frame_idx", "tile_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "lum", "r", "g", "b"))), lambda x: x).alias("p"))
-    med = P.median64(F.col("p.lum"))
-    cut = both.withColumn("m", med)
-    flat = (F.array_min(F.col("p.r")) == F.array_max(F.col("p.r"))) & (F.array_min(F.col("p.g")) == F.array_max(F.col("p.g"))) & (F.array_min(F.col("p.b")) == F.array_max(F.col("p.b")))
+    return frames.select("frame_idx", "height", "width", "n_channels", "data").mapInPandas(run, schema)
 
-    def mean(side: str) -> F.Column:
-        some = F.filter("p", lambda x: (x["lum"] >= F.col("m")) if side == "fg" else (x["lum"] < F.col("m")))
-        use = F.when(F.size(some) > 0, some).otherwise(F.col("p"))
-        total = lambda c: F.aggregate(use, F.lit(0.0), lambda a, x: a + x[c]) / F.size(use)
-        return F.struct(total("r").alias("r"), total("g").alias("g"), total("b").alias("b"))
 
-    return cut.select("frame_idx", "tile_idx", P.pattern_of(F.col("p.lum"), F.col("m")).alias("raw"), mean("fg").alias("fg"), mean("bg").alias("bg"), flat.alias("flat"))
+# -- what all frames share -------------------------------------------------------------------------
 
 
-def assign(tiles: DataFrame, glyphs: DataFrame, palette: DataFrame) -> DataFrame:
-    """Cells (``frame_idx``, ``tile_idx``, ``font_set``, ``char_idx``, ``fg_idx``, ``bg_idx``, ``invert``) by Hamming distance and nearest colours."""
-    matched = G.hamming_assign(tiles.select(F.col("raw").alias("pattern")), glyphs)
-    entries = palette.where("idx > 0")
+def native_colours(frames: DataFrame) -> DataFrame:
+    """(``r``, ``g``, ``b``, ``cnt``) of every fourth pixel of each image in its own size, counted by image before the shuffle."""
 
-    def colour(side: str) -> DataFrame:
-        means = tiles.select(F.col(f"{side}.*")).distinct()
-        near = C.nearest(means, entries, ["r", "g", "b"], ["r", "g", "b"], keys=("r", "g", "b"))
-        return near.select(F.struct("r", "g", "b").alias(side), F.col("idx").alias(f"{side}_idx"))
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in it:
+            for r in part.itertuples():
+                px = I.to_rgb(r.data, r.height, r.width, r.n_channels).reshape(-1, 3)[::4]
+                found, n = np.unique(px, axis=0, return_counts=True)
+                yield pd.DataFrame({"r": found[:, 0].astype(int), "g": found[:, 1].astype(int), "b": found[:, 2].astype(int), "cnt": n})
 
-    font, char = W.font_slot(F.when(F.col("flat"), 0).otherwise(F.col("medoid_id")))
-    out = tiles.join(matched.withColumnRenamed("pattern", "raw"), "raw").join(colour("fg"), "fg").join(colour("bg"), "bg")
-    return out.select("frame_idx", "tile_idx", font.alias("font_set"), char.alias("char_idx"), F.when(F.col("flat"), F.col("bg_idx")).otherwise(F.col("fg_idx")).alias("fg_idx"), "bg_idx", F.when(F.col("flat"), 0).otherwise(F.col("invert")).alias("invert"))
+    counted = frames.select("height", "width", "n_channels", "data").mapInPandas(run, "r int, g int, b int, cnt long")
+    return counted.groupBy("r", "g", "b").agg(F.sum("cnt").alias("cnt"))
 
 
-def _words(cells: DataFrame, by_frame: bool) -> DataFrame:
-    font = W.font_bank(F.col("font_set"), F.col("frame_idx")) if by_frame else F.col("font_set")
-    lut = F.col("frame_idx") % 2 if by_frame else F.lit(0)
-    return cells.select("frame_idx", "tile_idx", W.char_word(F.col("char_idx"), font, lut, lut, F.col("invert")).alias("char_word"), W.colour_word(F.col("fg_idx"), F.col("bg_idx")).alias("colour_word"))
+def role_colours(frames: DataFrame, crop: bool) -> DataFrame:
+    """(``role``, ``r``, ``g``, ``b``) distinct: the mean colours of the tiles' sides, cut to bytes."""
 
+    def work(_: int, px: np.ndarray) -> pd.DataFrame:
+        c = K.cells_of(px)
+        parts = [np.unique(x.astype(np.uint8), axis=0).astype(int) for x in (c.fg, c.bg)]
+        rows = np.concatenate(parts)
+        return pd.DataFrame({"role": np.repeat(["FG", "BG"], [len(p) for p in parts]), "r": rows[:, 0], "g": rows[:, 1], "b": rows[:, 2]})
 
-def _bytes(glyphs: DataFrame, n: int) -> np.ndarray:
-    rows = sorted((r.medoid_id, r.pattern) for r in glyphs.collect())
-    return np.frombuffer(b"".join(int(p).to_bytes(8, "big", signed=True) for _, p in rows), np.uint8).reshape(n, 8)
+    return per_frame(frames, crop, work, "role string, r int, g int, b int").distinct()
 
 
-def _table(palette: DataFrame) -> bytes:
-    return K.lut(np.array([(r.r, r.g, r.b) for r in palette.orderBy("idx").collect()], np.uint8))
+def shared_tables(frames: DataFrame, config: Config) -> Tables:
+    if not (config.split_palette or config.four_luts):
+        one = C.table_of(C.clustered(native_colours(frames), C.COLOURS, weight="cnt"))
+        return Tables([one], [one])
+    colours = role_colours(frames, config.crop).persist()
+    sides = [colours.where(F.col("role") == role).select("r", "g", "b") for role in ("FG", "BG")]
+    out = Tables(*[C.two_tables(s) if config.four_luts else [C.table_of(C.clustered(s, C.COLOURS))] for s in sides])
+    colours.unpersist()
+    return out
 
 
-def _glyphs(tiles: DataFrame, n: int, config: Config, reserved: DataFrame | None = None) -> DataFrame:
-    counts = G.pattern_frequency(tiles.select(P.canonical("raw").alias("pattern")))
-    if reserved is not None:
-        counts = counts.join(reserved.select("pattern"), "pattern", "left_anti")
-        kept = reserved.limit(n - 1).count()
-        own = G.kmeans_glyphs(counts, max(2, n - kept)).where("medoid_id < " + str(n - kept))
-        more = reserved.limit(n - 1).select((F.row_number().over(_by("frames")) - 1 + (n - kept)).alias("medoid_id"), "pattern")
-        found = own.unionByName(more)
+def pattern_stats(frames: DataFrame, crop: bool, colours: bool = False) -> DataFrame:
+    """(``pattern``, ``cnt``, ``first``, and ``mean``): distinct canonical patterns, their tiles, their first place, and Oklab of the mean colours by position.
+
+    Each frame's rows are summed in its task; sums meet by pattern.
+    """
+
+    def work(frame: int, px: np.ndarray) -> pd.DataFrame:
+        pattern, n, first, sums = fit.frame_stats(px, K.cells_of(px).raw)
+        out = pd.DataFrame({"pattern": pattern, "cnt": n, "first": frame * CELLS + first})
+        return out.assign(sums=list(sums.reshape(-1, 192))) if colours else out
+
+    schema = "pattern long, cnt long, first long" + ", sums array<double>" * colours
+    rows = per_frame(frames, crop, work, schema)
+    counts = rows.groupBy("pattern").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first"), *([F.array(*[F.sum(F.col("sums")[i]) for i in range(192)]).alias("sums")] if colours else []))
+    if not colours:
+        return counts
+
+    def oklab(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in it:
+            means = np.stack(part["sums"].to_numpy()).reshape(-1, 64, 3) / part["cnt"].to_numpy()[:, None, None] if len(part) else np.zeros((0, 64, 3))
+            yield part[["pattern", "cnt", "first"]].assign(mean=list(fit.oklab(means).reshape(-1, 192)))
+
+    return counts.mapInPandas(oklab, "pattern long, cnt long, first long, mean array<double>")
+
+
+def global_glyphs(frames: DataFrame, tables: Tables, config: Config, n: int = GLOBAL_GLYPHS) -> np.ndarray:
+    """``n`` glyphs for all frames: by first sight if they are fewer, else medoids of clusters."""
+    stats = pattern_stats(frames, config.crop, config.high_quality).persist()
+    has_zero = stats.where("pattern = 0").limit(1).count()
+    if (total := stats.count()) + 1 - has_zero < n:
+        rows = stats.select("first", "pattern").orderBy("first").collect()
+        out = fit.zero_first(fit.padded(fit.with_zero(np.array([r.pattern for r in rows], np.int64)), n))
+    elif config.high_quality:
+        out = G.perceptual_glyphs(stats, n, *tables.oklab(True))
     else:
-        found = G.kmeans_glyphs(counts, n)
-    if config.denoise:
-        found = G.denoise_glyphs(found, config.denoise).drop("changed")
-    return G.ensure_zero(found)
+        zero = frames.sparkSession.range(1 - has_zero).select(F.lit(0).cast("long").alias("pattern"), F.lit(1).cast("long").alias("cnt"))
+        one = stats.select("pattern", F.lit(1).cast("long").alias("cnt")).unionByName(zero)  # each pattern counts once
+        found = {r.first: r.pattern for r in G.glyph_medoids(one, n).collect()} if total + 1 - has_zero > n else dict(enumerate(r.pattern for r in one.collect()))
+        out = fit.zero_first(fit.with_extremes(np.array([found.get(k, 0) for k in range(n)], np.int64)))
+    stats.unpersist()
+    return out
 
 
 def reserved_glyphs(cells: DataFrame, n: int) -> DataFrame:
@@ -106,67 +160,134 @@ def reserved_glyphs(cells: DataFrame, n: int) -> DataFrame:
     return found.join(G.glyph_medoids(found, n, "frames"), "pattern").select("pattern", "frames")
 
 
-def _by(column: str):
-    from pyspark.sql import Window
+def coherent_glyphs(frames: DataFrame, config: Config) -> np.ndarray:
+    """Exactly ``config.coherence`` glyphs that frames have in common, those of more frames first; with the extremes if clustered."""
+
+    def work(frame: int, px: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"frame_idx": frame, "raw": np.unique(K.canonical(K.cells_of(px).raw))})
+
+    seen = per_frame(frames, config.crop, work, "frame_idx int, raw long").persist()
+    recurring = G.coherent(seen, "frame_idx", "raw").count()
+    rows = reserved_glyphs(seen, config.coherence).collect()
+    seen.unpersist()
+    found = np.array([r.pattern for r in sorted(rows, key=lambda r: (-r.frames, r.pattern))], np.int64)
+    return fit.padded(fit.with_extremes(found) if recurring > config.coherence else found, config.coherence)
+
+
+# -- one frame -------------------------------------------------------------------------------------
+
+
+def frame_tables(px: np.ndarray, config: Config) -> Tables:
+    """Tables from all pixels of one scaled frame, or from its tiles' sides."""
+    if config.split_palette:
+        c = K.cells_of(px)
+        return Tables(*[[fit.palette_of(np.unique(x.astype(np.uint8), axis=0))] for x in (c.fg, c.bg)])
+    colours, n = np.unique(px.reshape(-1, 3), axis=0, return_counts=True)
+    one = fit.palette_of(colours, n)
+    return Tables([one], [one])
+
+
+def frame_glyphs(px: np.ndarray, tables: Tables, config: Config, reserved: np.ndarray | None, n: int = FRAME_GLYPHS) -> np.ndarray:
+    """``n`` glyphs of one frame; reserved ones have the first places and the frame's others the rest. The empty glyph is first."""
+    pattern, counts, _, sums = fit.frame_stats(px, K.cells_of(px).raw)
+    if reserved is not None and len(reserved) >= n:
+        out = reserved[:n]
+    elif reserved is not None:
+        own = pattern[~np.isin(pattern, reserved)]
+        own = own if (reserved == 0).any() else fit.with_zero(own)
+        out = np.concatenate([reserved, fit.structure_glyphs(own, n - len(reserved))])
+    elif config.high_quality and len(fit.with_zero(pattern)) >= n:
+        out = fit.perceptual_glyphs(pattern, counts, fit.oklab(sums / counts[:, None, None]), n, *tables.oklab(False))
+    else:
+        out = fit.structure_glyphs(fit.with_zero(pattern), n)
+    return fit.zero_first(out)
+
+
+def denoised(glyphs: np.ndarray, config: Config) -> np.ndarray:
+    """The empty glyph stays empty, so it is still the first."""
+    return np.array([G.denoise(int(p), config.denoise) for p in glyphs], np.int64) if config.denoise else glyphs
+
+
+def font_chunks(glyphs: np.ndarray, bank: int = 0) -> bytes:
+    data = glyphs.astype(">i8").tobytes()
+    return b"".join(container.chunk(container.FONT, (bank + i) & 3, data[2048 * i : 2048 * i + 2048]) for i in range(len(glyphs) // 256))
+
+
+def table_chunks(tables: Tables, slot: int = 0) -> bytes:
+    """Foreground tables from ``slot``, then background ones two further."""
+    both = [*((slot + i, t) for i, t in enumerate(tables.fg)), *((slot + 2 + i, t) for i, t in enumerate(tables.bg))]
+    return b"".join(container.chunk(container.LUT, at, container.lut(t)) for at, t in both)
+
+
+def frame_body(px: np.ndarray, glyphs: np.ndarray, tables: Tables, config: Config, frame: int = 0, before: bytes = b"") -> bytes:
+    """One frame's chunks. Frames with fonts of their own take banks 0-1 and 2-3 in turn, and with tables of their own tables 0 and 1."""
+    got = (K.assign_best if config.high_quality else K.assign)(px, glyphs, tables.fg, tables.bg)
+    glyph, fg, bg, invert, fg_lut, bg_lut = got.T
+    font = glyph // 256
+    if config.mode != "global":
+        font = (font + frame % 2 * 2) & 3
+    if config.mode == "frame":
+        fg_lut = bg_lut = np.full(len(glyph), frame % 2)
+    chars = glyph % 256 | font << 8 | fg_lut << 10 | bg_lut << 11 | invert << 12
+    return container.frame_chunks(chars, fg << 8 | bg, config.rle, before)
+
 
-    return Window.orderBy(F.desc(column), "pattern")
+# -- the plan --------------------------------------------------------------------------------------
 
 
-def encode(spark: SparkSession, folder: str, config: Config = Config(), glyphs: DataFrame | None = None) -> bytes:
-    """The container of all images in ``folder``. ``glyphs`` (``medoid_id``, ``pattern``) replaces clustering in global mode.
+def encoded(spark: SparkSession, folder: str, config: Config = Config(), glyphs: DataFrame | np.ndarray | None = None) -> tuple[bytes, DataFrame]:
+    """What comes before the frames, and (``frame_idx``, ``body``) of all images in ``folder``, each made in one task.
 
-    The palette and glyph fits are small tables; frames are encoded in parallel and only their
-    finished bodies are put together, in order, for the one output file.
+    ``glyphs`` (``medoid_id``, ``pattern``, or their patterns in order) replaces clustering in global mode.
     """
     frames = I.scan(spark, folder)
     if frames.isEmpty():
         raise ValueError(f"no images in {folder}")
-    tiles = I.tiles(frames, config.crop)
-    px = pixels(tiles).cache()
-    cells = tile_patterns(px).cache()
-    numbers = [r.frame_idx for r in frames.select("frame_idx").orderBy("frame_idx").collect()]
-    by_frame = config.mode != "global"
-
-    def shared_palette() -> DataFrame:  # every fourth pixel; that of one frame has all its pixels
-        return C.kmeans_palette(C.weighted_colours(C.stride_sample(px.withColumn("pixel_idx", F.col("tile_idx") * 64 + F.col("pos")))))
-
-    def tables(palette: DataFrame, slot: int = 0) -> bytes:
-        return K.chunk(K.LUT, slot, _table(palette)) + K.chunk(K.LUT, slot + 2, _table(palette))
-
-    def fonts(found: DataFrame, n: int, bank: int = 0) -> bytes:
-        data = _bytes(found, n)
-        return b"".join(K.chunk(K.FONT, bank + i, data[256 * i : 256 * i + 256].tobytes()) for i in range(n // 256))
-
-    def matched(part: DataFrame, found: DataFrame, palette: DataFrame, colours: DataFrame) -> DataFrame:
-        if not config.high_quality:
-            return assign(part, found, palette)
-        table = np.array([(r.r, r.g, r.b) for r in palette.orderBy("idx").collect()], np.float64)
-        n = found.count()
-        got = G.hq_assign_tiles(colours, table, table, np.unpackbits(_bytes(found, n), axis=1))
-        font, char = W.font_slot(F.col("medoid_id"))
-        return got.select("frame_idx", "tile_idx", font.alias("font_set"), char.alias("char_idx"), "fg_idx", "bg_idx", "invert")
-
-    out = [K.header(config.duration)]
-    if not by_frame:
-        palette, found = shared_palette(), G.pad_to(G.ensure_zero(glyphs), 1024) if glyphs is not None else _glyphs(cells, 1024, config)
-        bodies = K.assignments_to_frames(_words(matched(cells, found, palette, tiles), False), config.rle)
-        out += [tables(palette), fonts(found, 1024)]
-        out += [r.body for r in bodies.orderBy("frame_idx").toLocalIterator()]
-        return b"".join(out)
-    shared = shared_palette() if config.mode == "hybrid" else None
-    if shared is not None:
-        out.append(tables(shared))
-    reserved = None
-    if config.coherence:
-        reserved = reserved_glyphs(cells, config.coherence).orderBy(F.desc("frames"), "pattern").cache()
-    for i in numbers:  # a fit for each frame, as the mode asks; its cells are matched in parallel
-        part, own = cells.where(F.col("frame_idx") == i), px.where(F.col("frame_idx") == i)
-        palette = shared if shared is not None else C.kmeans_palette(C.weighted_colours(own))
-        found = _glyphs(part, 512, config, reserved)
-        before = (b"" if shared is not None else tables(palette, i % 2)) + fonts(found, 512, i % 2 * 2)
-        cells_ = _words(matched(part, found, palette, tiles.where(F.col("frame_idx") == i)), True)
-        if shared is not None:
-            cells_ = cells_.withColumn("char_word", F.col("char_word").bitwiseAND(F.lit(~0xC00)))
-        rows = cells_.orderBy("tile_idx").collect()
-        out.append(K.frame_chunks(np.array([r.char_word for r in rows]), np.array([r.colour_word for r in rows]), config.rle, before))
-    return b"".join(out)
+    tables = shared_tables(frames, config) if config.mode != "frame" else None
+    head = container.header(config.duration) + (table_chunks(tables) if tables else b"")
+    found = reserved = None
+    if config.mode == "global":
+        if isinstance(glyphs, DataFrame):
+            rows = sorted((r.medoid_id, r.pattern) for r in G.pad_to(glyphs, GLOBAL_GLYPHS).collect())
+            glyphs = np.array([p for _, p in rows], np.int64)
+        found = fit.zero_first(fit.padded(glyphs, GLOBAL_GLYPHS)) if glyphs is not None else global_glyphs(frames, tables, config)
+        found = denoised(found, config)
+        head += font_chunks(found)
+    elif config.coherence:
+        reserved = coherent_glyphs(frames, config)
+    shared = spark.sparkContext.broadcast((tables, found, reserved))
+
+    def work(frame: int, px: np.ndarray) -> pd.DataFrame:
+        tables, found, reserved = shared.value
+        if found is not None:
+            return pd.DataFrame({"frame_idx": [frame], "body": [frame_body(px, found, tables, config)]})
+        own = tables or frame_tables(px, config)
+        fonts = denoised(frame_glyphs(px, own, config, reserved), config)
+        before = (b"" if tables else table_chunks(own, frame % 2)) + font_chunks(fonts, frame % 2 * 2)
+        return pd.DataFrame({"frame_idx": [frame], "body": [frame_body(px, fonts, own, config, frame, before)]})
+
+    return head, per_frame(frames, config.crop, work, "frame_idx int, body binary")
+
+
+def parts(spark: SparkSession, folder: str, config: Config = Config(), glyphs: DataFrame | np.ndarray | None = None) -> Iterator[bytes]:
+    """The container of all images in ``folder``, piece by piece in order; the driver holds one partition of bodies at a time."""
+    head, bodies = encoded(spark, folder, config, glyphs)
+    yield head
+    bodies = bodies.persist()  # sorting by range reads them twice, and each is dear
+    for r in bodies.orderBy("frame_idx").toLocalIterator():
+        yield bytes(r.body)
+    bodies.unpersist()
+
+
+def encode(spark: SparkSession, folder: str, config: Config = Config(), glyphs: DataFrame | np.ndarray | None = None) -> bytes:
+    """``parts``, joined."""
+    return b"".join(parts(spark, folder, config, glyphs))
+
+
+def read_glyphs(path: str) -> np.ndarray:
+    """A glyph table of 1024 x 8 bytes from a file; the empty glyph comes first."""
+    with open(path, "rb") as f:
+        data = f.read()
+    if len(data) != 8 * GLOBAL_GLYPHS:
+        raise ValueError(f"a glyph table has {8 * GLOBAL_GLYPHS} bytes, not {len(data)}")
+    return fit.zero_first(np.frombuffer(data, ">i8").astype(np.int64))

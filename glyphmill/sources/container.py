@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import re
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from glyphmill.operators.rle import decode_bytes, decode_words, encode_words
 
@@ -47,37 +53,99 @@ def chunk(kind: int, ident: int, data: bytes = b"") -> bytes:
     return struct.pack("<BBH", kind, ident, len(data)) + data
 
 
-def chunks(data: bytes) -> Iterator[tuple[int, int | None, int, int, bytes]]:
-    """(sequence, frame, type, id, data) of a file's chunks after its header. A cut-off chunk header is an error, cut-off data isn't."""
-    parse_header(data)
-    at, seq, frame, opened = 8, 0, None, -1
-    while at < len(data):
-        if at + 4 > len(data):
+def chunks_of(read: Callable[[int], bytes]) -> Iterator[tuple[int, int | None, int, int, bytes]]:
+    """(sequence, frame, type, id, data) of the chunks that ``read`` gives after the header, one at a time. A cut-off chunk header is an error, cut-off data isn't."""
+    seq, frame, opened = 0, None, -1
+    while head := read(4):
+        if len(head) < 4:
             raise ValueError("the file ends inside a chunk header")
-        kind, ident, length = struct.unpack_from("<BBH", data, at)
+        kind, ident, length = struct.unpack("<BBH", head)
         if kind == START:
             opened += 1
             frame = opened
-        yield seq, frame, kind, ident, data[at + 4 : at + 4 + length]
+        yield seq, frame, kind, ident, read(length)
         if kind == END:
             frame = None
-        at, seq = at + 4 + length, seq + 1
+        seq += 1
+
+
+def chunks(data: bytes) -> Iterator[tuple[int, int | None, int, int, bytes]]:
+    """``chunks_of`` a whole file."""
+    stream = io.BytesIO(data)
+    parse_header(stream.read(8))
+    return chunks_of(stream.read)
+
+
+_ROW = pa.schema([("file", pa.string()), ("seq", pa.int64()), ("frame_idx", pa.int32()), ("type", pa.int32()), ("id", pa.int32()), ("length", pa.int32()), ("data", pa.binary())])
+
+
+def _rows(file: str, found: Iterator[tuple], at_once: int = 256) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    for s, f, k, i, d in found:
+        rows.append((file, s, f, k, i, len(d), d))
+        if len(rows) == at_once:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of all containers below ``path``, with the file; files are read in parallel, each in order."""
-    schema = pa.schema([("file", pa.string()), ("seq", pa.int64()), ("frame_idx", pa.int32()), ("type", pa.int32()), ("id", pa.int32()), ("length", pa.int32()), ("data", pa.binary())])
+    """Chunks of all containers below ``path``, on any store that Spark reads, with the file; files are read in parallel, each in order."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(file, s, f, k, i, len(d), d) for s, f, k, i, d in chunks(content)]
-                for at in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows[at : at + 1000], strict=True), schema, strict=True)], schema=schema)
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from _rows(file, chunks(content.as_py()))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"file string, {CHUNKS}")
 
 
+@dataclass
+class _File(InputPartition):
+    path: str
+
+
+class ContainerSource(DataSource):
+    """``spark.read.format("glyph_container").load(path)``: the rows of ``read_chunks``, streamed chunk by chunk from files of any size.
+
+    Register with ``spark.dataSource.register(ContainerSource)``. A folder's files are a partition each.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "glyph_container"
+
+    def schema(self) -> str:
+        return f"file string, {CHUNKS}"
+
+    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
+        return _ContainerReader(self.options["path"])
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path else Path(re.sub("^file:", "", path)).absolute().as_uri())
+
+
+class _ContainerReader(DataSourceReader):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def partitions(self) -> list[_File]:
+        files, inner = _store(self.path)
+        if files.get_file_info(inner).type == fs.FileType.File:
+            return [_File(self.path)]
+        found = files.get_file_info(fs.FileSelector(inner))
+        base = self.path.rstrip("/")
+        return [_File(f"{base}/{x.base_name}") for x in sorted(found, key=lambda x: x.path) if x.type == fs.FileType.File and x.base_name[0] not in "._"]
+
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        files, inner = _store(partition.path)
+        with files.open_input_stream(inner, buffer_size=1 << 20) as stream:
+            parse_header(stream.read(8))
+            yield from _rows(partition.path, chunks_of(stream.read))
+
+
 class State:
     """Colour tables and fonts by slot, overwritten in stream order and carried from frame to frame."""
 
@@ -128,12 +196,13 @@ def render(chars: np.ndarray, colours: np.ndarray, state: State) -> np.ndarray:
     return out.reshape(ROWS, COLUMNS, 8, 8, 3).swapaxes(1, 2).reshape(ROWS * 8, COLUMNS * 8, 3)
 
 
-def frames(data: bytes) -> Iterator[np.ndarray]:
-    """Rendered frames of one container; a frame cut off by the end of the file is rendered too."""
-    if parse_header(data).mode != MODE:
+def frames_of(read: Callable[[int], bytes]) -> Iterator[np.ndarray]:
+    """Rendered frames of one container, as it is read; a frame cut off by the end of the file is rendered too."""
+    if parse_header(read(8)).mode != MODE:
         raise ValueError("only mode 2 is supported")
     state, chars, colours, opened = State(), [], [], False
-    for _, frame, kind, ident, body in chunks(data):
+    whole = lambda: render(*(np.concatenate(x) if x else np.empty(0, "<u2") for x in (chars, colours)), state)
+    for _, frame, kind, ident, body in chunks_of(read):
         if kind == START:
             chars, colours, opened = [], [], True
         elif kind in (LUT, FONT, FONT_RLE):
@@ -143,10 +212,30 @@ def frames(data: bytes) -> Iterator[np.ndarray]:
             words = decode_words(body, wanted) if kind in (CHARS_RLE, COLOURS_RLE) else np.frombuffer(body[: len(body) // 2 * 2], "<u2")
             (chars if kind in (CHARS, CHARS_RLE) else colours).append(words)
         elif kind == END and opened:
-            yield render(*(np.concatenate(x) if x else np.empty(0, "<u2") for x in (chars, colours)), state)
+            yield whole()
             opened = False
     if opened:
-        yield render(*(np.concatenate(x) if x else np.empty(0, "<u2") for x in (chars, colours)), state)
+        yield whole()
+
+
+def frames(data: bytes) -> Iterator[np.ndarray]:
+    """``frames_of`` a whole file."""
+    return frames_of(io.BytesIO(data).read)
+
+
+def render_text(chars: np.ndarray, colours: np.ndarray, font: np.ndarray | None, table: np.ndarray, columns: int = COLUMNS, rows: int = ROWS) -> np.ndarray:
+    """A frame of standard text: a byte for a cell's character, and one for its colours, high half foreground, low half background.
+
+    Foregrounds are the table's entries 0-15, backgrounds 16-31. Cells beyond the data, and all
+    without a font, are black.
+    """
+    n = 0 if font is None else min(len(chars), len(colours), columns * rows)
+    out = np.zeros((columns * rows, 64, 3), np.uint8)
+    if n:
+        on = np.unpackbits(font[chars[:n]], axis=1).astype(bool)
+        fg, bg = table[colours[:n] >> 4][:, :3], table[16 + (colours[:n] & 15)][:, :3]
+        out[:n] = np.where(on[:, :, None], fg[:, None, :], bg[:, None, :])
+    return out.reshape(rows, columns, 8, 8, 3).swapaxes(1, 2).reshape(rows * 8, columns * 8, 3)
 
 
 def lut(colours: np.ndarray) -> bytes:
@@ -184,8 +273,38 @@ def rendered(spark: SparkSession, path: str) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, img in enumerate(frames(content)):
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for i, img in enumerate(frames(content.as_py())):
                     yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([i], pa.int32()), pa.array([png(img)], pa.binary())], names=["file", "frame_idx", "png"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, frame_idx int, png binary")
+
+
+def write_pngs(spark: SparkSession, path: str, folder: str, progress: Callable[[int, int, str], None] | None = None) -> int:
+    """Write the frames of the containers below ``path`` to ``folder``, from the tasks that render them; the number of frames.
+
+    A picture is written under a name of its own and renamed, so a task that runs again replaces it.
+    ``progress`` is called with (done, all, message) for each frame when they are written.
+    """
+    shots = rendered(spark, path)
+    several = spark.read.format("binaryFile").load(path).select("path").limit(2).count() > 1
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inner = _store(folder)
+        store.create_dir(inner, recursive=True)
+        for batch in it:
+            names = []
+            for file, i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lead = re.sub(r"\W+", "_", file.rsplit("/", 1)[-1]) + "_" if several else ""
+                names.append(f"{lead}reconstructed_{i:04d}.png")
+                part = f"{inner}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(data)
+                store.move(part, f"{inner}/{names[-1]}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string())], names=["file", "frame_idx", "name"])
+
+    written = shots.mapInArrow(run, "file string, frame_idx int, name string").collect()  # names, not pictures
+    for k, r in enumerate(sorted(written, key=lambda r: (r.file, r.frame_idx)), 1):
+        if progress:
+            progress(k, len(written), r.name)
+    return len(written)

@@ -17,10 +17,14 @@ KINDS = ("png", "jpg", "jpeg", "gif", "bmp", "tiff")
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(``frame_idx``, ``path``, ``height``, ``width``, ``n_channels``, ``data``) of a folder's images, numbered by path; suffixes in lower or upper case."""
+    """(``frame_idx``, ``path``, ``height``, ``width``, ``n_channels``, ``data``) of a folder's images, numbered by path; suffixes in lower or upper case.
+
+    A folder is an animation: its paths, without the images, are numbered in one task, and several
+    folders by themselves, in parallel.
+    """
     images = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
     images = images.where(F.lower(F.substring_index("origin", ".", -1)).isin(*KINDS))
-    order = Window.orderBy("origin")  # one row an image; the bytes stay out of the sort
+    order = Window.partitionBy(F.regexp_replace("origin", "/[^/]*$", "")).orderBy("origin")
     number = images.select("origin").withColumn("frame_idx", (F.row_number().over(order) - 1).cast("int"))
     return images.join(number, "origin").select("frame_idx", F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("n_channels"), "data")
 

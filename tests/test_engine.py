@@ -5,9 +5,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glyphmill.functions import patterns as P
+from glyphmill.operators import fit
+from glyphmill.operators import frames as K2
 from glyphmill.operators import glyphs as G
 from glyphmill.operators import rle as R
-from glyphmill.plans.encode import Config, encode, reserved_glyphs
+from glyphmill.plans.encode import Config, encode, encoded, read_glyphs, reserved_glyphs, shared_tables
 from glyphmill.sources import container as K
 from glyphmill.sources import images as I
 
@@ -80,20 +82,156 @@ def test_denoise():
     assert G.denoise(block, 8) == block and G.denoise(block, 9) == 0
 
 
-def test_high_quality_match():
+def drawn(glyph, invert, f, b):
+    return np.where((bits(int(glyph)).ravel() ^ invert)[:, None] == 1, f, b)
+
+
+def tile_batch(r, n):
+    px = r.integers(0, 256, (n, 64, 3)).astype(np.uint8)
+    px[-1] = px[-1][0]
+    px[-2, :40] = (9, 9, 9)  # most of it at the least luminance, so no pixel is below the median
+    return px
+
+
+def by_hand(px):
+    lum = px.astype(int) @ np.array([299, 587, 114])
+    up = lum >= np.median(lum)
+    mean = px.mean(axis=0)
+    return up, px[up].mean(axis=0), px[~up].mean(axis=0) if (~up).any() else mean
+
+
+def test_cells_equal_one_tile_at_a_time():
+    px = tile_batch(np.random.default_rng(2), 40)
+    got = K2.cells_of(px)
+    for t in range(len(px)):
+        up, fg, bg = by_hand(px[t])
+        assert (bits(int(got.raw[t])).ravel() == up).all() and got.flat[t] == (t == 39)
+        assert np.allclose(got.fg[t], fg) and np.allclose(got.bg[t], bg)
+
+
+@pytest.mark.parametrize("tables", [1, 2])
+def test_match_by_least_error(tables):
     r = np.random.default_rng(3)
-    fg, bg = r.integers(0, 256, (6, 3)).astype(float), r.integers(0, 256, (6, 3)).astype(float)
-    glyphs, px = r.integers(0, 2, (9, 64)), r.integers(0, 256, (5, 64, 3))
-    px[4] = px[4][0]
-    got = G.hq_assign(px, fg, bg, glyphs, k=2)
-    for t in range(4):
-        lum = px[t] @ np.array([299, 587, 114])
-        up = lum >= np.median(lum)
-        near = lambda pal, c: sorted(range(1, 6), key=lambda i: ((pal[i] - c) ** 2).sum())[:2]
-        best = min(((np.where((glyphs[m] ^ v)[:, None] == 1, fg[f], bg[b]) - px[t]) ** 2).sum() for f in near(fg, px[t][up].mean(axis=0)) for b in near(bg, px[t][~up].mean(axis=0)) for m in range(9) for v in (0, 1))
-        m, f, b, v = got[t]
-        assert np.isclose(best, ((np.where((glyphs[m] ^ v)[:, None] == 1, fg[f], bg[b]) - px[t]) ** 2).sum())
-    assert got[4][0] == 0 and got[4][1] == got[4][2] and got[4][3] == 0
+    fgs, bgs = ([r.integers(0, 256, (6, 3)).astype(np.uint8) for _ in range(tables)] for _ in "fb")
+    bgs[0][3] = fgs[0][2]
+    glyphs, px = r.integers(-(2**63), 2**63, 9), tile_batch(r, 30)
+    w = np.array([0.299, 0.587, 0.114]) if tables == 2 else np.ones(3)
+    got = K2.assign_best(px, glyphs, fgs, bgs, k=2)
+    for t in range(len(px)):
+        x = px[t].astype(float)
+        _, fg, bg = by_hand(px[t])
+        near = lambda pal, c: sorted(((lut, i) for lut in range(tables) for i in range(1, 6)), key=lambda at: (((pal[at[0]][at[1]] - c) ** 2) @ w, at))
+        m, f, b, v, fl, bl = got[t]
+        if t == len(px) - 1:
+            assert (m, v, f, fl) == (0, 0, b, bl) and (bl, b) == near(bgs, x[0])[0]
+            continue
+        error = lambda m, v, f, b: ((drawn(m, v, fgs[f[0]][f[1]], bgs[b[0]][b[1]]) - x) ** 2).sum()  # noqa: E731, B023
+        options = [(error(g, v, f, b), i, j, k, v) for i, f in enumerate(near(fgs, fg)[:2]) for j, b in enumerate(near(bgs, bg)[:2]) for k, g in enumerate(glyphs) for v in (0, 1) if (fgs[f[0]][f[1]] != bgs[b[0]][b[1]]).any()]
+        best = min(options)
+        assert np.isclose(best[0], error(glyphs[m], v, (fl, f), (bl, b)))
+        assert ((fl, f), (bl, b)) == (near(fgs, fg)[best[1]], near(bgs, bg)[best[2]])
+
+
+@pytest.mark.parametrize("tables", [1, 2])
+def test_match_by_pattern(tables):
+    r = np.random.default_rng(4)
+    fgs, bgs = ([r.integers(0, 256, (6, 3)).astype(np.uint8) for _ in range(tables)] for _ in "fb")
+    bgs[0][1:] = fgs[0][1:]  # equal numbers and equal colours happen
+    glyphs, px = r.integers(-(2**63), 2**63, 9), tile_batch(r, 60)
+    got = K2.assign(px, glyphs, fgs, bgs)
+    for t in range(len(px)):
+        up, fg, bg = by_hand(px[t])
+        m, f, b, v, fl, bl = got[t]
+        near = lambda pal, c, no=0: min((i for i in range(1, 6) if i != no), key=lambda i: (((pal[i] - c) ** 2).sum(), i))
+        far = lambda pal, c: ((pal[near(pal, c)] - c) ** 2).sum()
+        lut = lambda pals, c: int(tables == 2 and far(pals[1], c) < far(pals[0], c))
+        if t == len(px) - 1:
+            want = lut(bgs, bg)
+            assert (m, v, f, b, fl, bl) == (0, 0, near(bgs[want], bg), near(bgs[want], bg), want, want)
+            continue
+        d = [(min(n := int((bits(int(g)).ravel() != up).sum()), 64 - n), int(n > 32), i) for i, g in enumerate(glyphs)]
+        assert (v, m) == min(d)[1:]
+        wf, wb = lut(fgs, fg), lut(bgs, bg)
+        assert (fl, f) == (wf, near(fgs[wf], fg))
+        if tables == 1:
+            assert b == near(bgs[0], bg, no=0 if near(bgs[0], bg) != f else f)
+        else:
+            same = (fgs[wf][f] == bgs[wb][near(bgs[wb], bg)]).all()
+            assert (bl, b) == (wb ^ same, near(bgs[wb ^ same], bg))
+
+
+def test_costs_equal_one_glyph_at_a_time():
+    r = np.random.default_rng(6)
+    glyphs, means = np.array([0, -1, *r.integers(-(2**63), 2**63, 5)]), r.random((11, 64, 3))
+    fg, bg = r.random((7, 3)), r.random((5, 3))
+    got = fit.costs(glyphs, means, fg, bg)
+    for i, x in enumerate(means):
+        for j, g in enumerate(glyphs):
+            m, want = bits(int(g)).ravel() == 1, 0.0
+            for side, pal in ((x[m], fg), (x[~m], bg)):
+                if len(side):
+                    want += ((side - pal[((pal - side.mean(axis=0)) ** 2).sum(axis=1).argmin()]) ** 2).sum()
+            assert np.isclose(got[i, j], want)
+    counts = r.integers(1, 9, 11)
+    assert np.isclose(fit.set_cost(glyphs, means, counts, fg, bg), (got.min(axis=1) * counts).sum())
+
+
+def test_extremes_and_zero():
+    assert fit.with_extremes(np.array([7, 1, 2**62 - 1])).tolist() == [7, 0, -1]
+    assert fit.with_extremes(np.array([0, 5])).tolist() == [0, -1] and fit.with_extremes(np.array([-1, 5])).tolist() == [-1, 0]
+    assert fit.with_extremes(np.array([0])).tolist() == [0]
+    assert fit.zero_first(np.array([4, 0, 9])).tolist() == [0, 4, 9] and fit.zero_first(np.array([4, 9])).tolist() == [0, 9]
+    assert fit.hamming_medoid(np.array([0xFF, 0x0F, 0x1F])) == 2
+
+
+def test_kmeans_finds_separate_groups():
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal(c, 0.1, (50, 3)) for c in (0, 5, 10, 20)])
+    centres, labels = fit.kmeans(x, 4)
+    assert sorted(np.rint(centres.mean(axis=1)).tolist()) == [0, 5, 10, 20] and all(len(set(labels[i : i + 50].tolist())) == 1 for i in range(0, 200, 50))
+    heavy, _ = fit.kmeans(np.array([[0.0], [1.0], [10.0]]), 2, np.array([3, 1, 1]))
+    assert np.allclose(sorted(heavy.ravel()), [0.25, 10])
+    assert len(fit.kmeans(np.zeros((5, 2)), 3)[0]) == 3
+
+
+def test_structure_features_agree(spark):
+    r = np.random.default_rng(9)
+    patterns = np.unique(fit.canonical(r.integers(-(2**63), 2**63, 50)))
+    want = fit.structure(patterns)
+    rows = G.structure_features(spark.createDataFrame([(int(p), 1) for p in patterns], "pattern long, cnt long"), "cnt").collect()
+    got = {x.pattern: x.features.toArray() for x in rows}
+    assert np.allclose([got[int(p)] for p in patterns], want)
+
+
+def test_perceptual_glyphs_agree(spark):
+    """The distributed fit draws its patterns about as well as the fit at hand, and each glyph is a pattern."""
+    r = np.random.default_rng(10)
+    patterns = np.unique(fit.canonical(r.integers(-(2**63), 2**63, 60)))
+    px = np.array([drawn(p, 0, (200, 40, 40), (20, 60, 120)) for p in patterns]) + r.integers(0, 20, (len(patterns), 64, 3))
+    means, counts = fit.oklab(px), r.integers(1, 5, len(patterns))
+    pal = fit.oklab(np.array([[200, 40, 40], [20, 60, 120], [210, 50, 50]]))
+    stats = spark.createDataFrame([(int(p), int(c), i, m.ravel().tolist()) for i, (p, c, m) in enumerate(zip(patterns, counts, means))], "pattern long, cnt long, first long, mean array<double>")
+    one, two = G.perceptual_glyphs(stats, 12, pal, pal), fit.perceptual_glyphs(patterns, counts, means, 12, pal, pal)
+    for glyphs in (one, two):
+        assert len(glyphs) == 12 and glyphs[0] == 0 and set(glyphs[1:].tolist()) <= {0, *patterns.tolist()}
+    a, b = (fit.set_cost(g, means, counts, pal, pal) for g in (one, two))
+    assert a < 1.25 * b and b < 1.25 * a
+    few = G.perceptual_glyphs(stats, 100, pal, pal)
+    assert few[0] == 0 and set(few.tolist()) >= set(patterns[1:].tolist())
+
+
+def test_lanczos_weights():
+    for size, out in ((10, 10), (100, 37), (37, 100), (640, 1)):
+        w = I._weights(size, out)
+        assert np.allclose(w.sum(axis=1), 1)
+        for o in range(0, out, 7):
+            centre, reach = (o + 0.5) * size / out, max(size / out, 1)
+            x = [(s + 0.5 - centre) / reach for s in range(size)]
+            want = np.array([0 if abs(v) >= 3 else 1 if v == 0 else np.sin(np.pi * v) * np.sin(np.pi * v / 3) * 3 / (np.pi * v) ** 2 for v in x])
+            assert np.allclose(w[o], want / want.sum(), atol=1e-9)
+    ramp = np.tile(np.arange(0, 240, 2, dtype=np.uint8)[None, :, None], (60, 1, 3))
+    half = I.resize(ramp, 60, 30)
+    assert np.abs(half[15, 5:-5, 0].astype(int) - np.arange(1, 240, 4)[5:-5]).max() <= 1
 
 
 def test_placement_and_png():
@@ -165,6 +303,127 @@ def test_encode_global_decodes_to_the_image(spark, tmp_path):
         Config("other")
 
 
+def picture(seed, n=6):
+    """Blocks of a few colours with strokes and a gradient, of a size of its own."""
+    r = np.random.default_rng(seed)
+    img = np.zeros((480, 640, 3), np.uint8)
+    for _ in range(n):
+        y, x = r.integers(0, 400), r.integers(0, 560)
+        img[y : y + 80, x : x + 90] = r.integers(0, 256, 3)
+    img[200:280, :, 1] = np.linspace(0, 255, 640).astype(np.uint8)
+    img[300:330] += r.integers(0, 60, (30, 640, 3)).astype(np.uint8)
+    return img
+
+
+@pytest.fixture(scope="module")
+def animation(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("frames")
+    for i in range(2):
+        (folder / f"f{i}.png").write_bytes(I.png(picture(20 + i)))
+    return folder
+
+
+#: the sizes that the format gives for two frames
+SIZES = {"global": 10_272 + 2 * 19_248, "hybrid": 2_064 + 2 * 23_352, "frame": 8 + 2 * 25_408}
+
+
+@pytest.mark.parametrize(
+    "config",
+    [Config("global"), Config("hybrid"), Config("frame"), Config("hybrid", coherence=40, denoise=1), Config("frame", coherence=600), Config("frame", split_palette=True, high_quality=True), Config("hybrid", four_luts=True), Config("global", high_quality=True, four_luts=True), Config("global", split_palette=True, crop=True, rle=True)],
+    ids=lambda c: "-".join([c.mode, *(k for k in ("coherence", "denoise", "high_quality", "split_palette", "four_luts", "rle") if getattr(c, k))]),
+)
+def test_modes_end_to_end(spark, animation, config):
+    data = encode(spark, str(animation), config)
+    if not config.rle:
+        assert len(data) == SIZES[config.mode] + 2056 * config.four_luts
+    found = list(K.chunks(data))
+    fonts = [(f, i) for _, f, k, i, _ in found if k == K.FONT]
+    tables = [(f, i) for _, f, k, i, _ in found if k == K.LUT]
+    assert fonts == ([(None, i) for i in range(4)] if config.mode == "global" else [(0, 0), (0, 1), (1, 2), (1, 3)])
+    assert tables == ([(0, 0), (0, 2), (1, 1), (1, 3)] if config.mode == "frame" else [(None, i) for i in ((0, 1, 2, 3) if config.four_luts else (0, 2))])
+    assert all(body[:8] == bytes(8) for _, _, k, i, body in found if k == K.FONT and i in (0, 2) and (config.mode != "global" or i == 0))
+    shots = list(K.frames(data))
+    assert len(shots) == 2
+    for i, got in enumerate(shots):
+        want = I.canvas(picture(20 + i), config.crop).astype(float)
+        if config.coherence < 512:
+            assert np.abs(got - want).mean() < (9 if config.high_quality else 13), np.abs(got - want).mean()
+
+
+def test_encoding_is_repeatable_and_in_order(spark, animation):
+    head, bodies = encoded(spark, str(animation), Config("frame", split_palette=True))
+    rows = {r.frame_idx: bytes(r.body) for r in bodies.collect()}
+    assert encode(spark, str(animation), Config("frame", split_palette=True)) == head + rows[0] + rows[1]
+    with pytest.raises(ValueError):
+        Config("frame", four_luts=True)
+
+
+def test_shared_palette_is_of_native_pixels(spark, tmp_path):
+    """Colours of a letterboxed image come from the image, every fourth pixel, not from the scaled canvas."""
+    img = np.zeros((10, 40, 3), np.uint8)
+    img[:, ::4] = (200, 30, 90)
+    img[:, 1::4] = (1, 2, 3)
+    (tmp_path / "f.png").write_bytes(I.png(img))
+    frames = I.scan(spark, str(tmp_path))
+    table = shared_tables(frames, Config()).fg[0]
+    assert table[1].tolist() == [200, 30, 90] and (table[2:] == 128).all() and (table[0] == 0).all()
+
+
+def test_two_tables_interleave():
+    colours = np.array([[i // 2, i // 3, i // 4] for i in range(510)], np.uint8)
+    light = lambda c: c.astype(int) @ np.array([299, 587, 114])
+    a, b = fit.interleaved(colours[np.random.default_rng(0).permutation(510)])
+    assert sorted(map(tuple, np.concatenate([a[1:], b[1:]]).tolist())) == sorted(map(tuple, colours.tolist()))
+    order = np.sort(light(colours))
+    assert (light(a[1:]) == order[0::2]).all() and (light(b[1:]) == order[1::2]).all() and not a[0].any()
+
+
+def test_command_line(spark, animation, tmp_path, monkeypatch, capsys):
+    from glyphmill import cli
+
+    glyphs = np.zeros((1024, 8), np.uint8)
+    glyphs[0], glyphs[5] = 255, 15
+    (tmp_path / "glyphs.bin").write_bytes(glyphs.tobytes())
+    table = read_glyphs(str(tmp_path / "glyphs.bin"))
+    assert table[0] == 0 and table[1] == -1 or (table[0] == 0 and -1 in table)
+    (tmp_path / "short.bin").write_bytes(bytes(80))
+    out = str(tmp_path / "out.bin")
+    assert cli.main(["encode", str(animation), out, "--glyphs", str(tmp_path / "short.bin")]) == 1
+    assert cli.main(["encode", str(animation), out, "--glyphs", str(tmp_path / "glyphs.bin"), "--coherence", "3", "--rle"]) == 0
+    assert "no effect" in capsys.readouterr().out
+    assert cli.main(["encode", str(tmp_path / "none"), out]) == 1 if (tmp_path / "none").mkdir() is None else None
+    assert cli.main(["render", out, str(tmp_path / "pngs")]) == 0
+    names = sorted(p.name for p in (tmp_path / "pngs").iterdir() if p.suffix == ".png")
+    assert names == ["reconstructed_0000.png", "reconstructed_0001.png"]
+    back = I.scan(spark, str(tmp_path / "pngs")).orderBy("frame_idx").collect()
+    for r, want in zip(back, K.frames((tmp_path / "out.bin").read_bytes()), strict=True):
+        assert (I.to_rgb(r.data, r.height, r.width, r.n_channels) == want).all()
+    with pytest.raises(SystemExit):
+        cli.main(["encode", "a", "b", "--mode", "frame", "--four-luts"])
+
+
+def test_container_data_source(spark, tmp_path):
+    spark.dataSource.register(K.ContainerSource)
+    data = sample_file(True)[0]
+    for name in ("a.bin", "b.bin"):
+        (tmp_path / name).write_bytes(data)
+    key = lambda rows: sorted((r.file.rsplit("/", 1)[-1], r.seq, r.frame_idx, r.type, r.id, r.length, bytes(r.data)) for r in rows)
+    got = spark.read.format("glyph_container").load(str(tmp_path))
+    assert got.rdd.getNumPartitions() == 2
+    assert str(key(got.collect())) == str(key(K.read_chunks(spark, f"file://{tmp_path}").collect()))
+    one = spark.read.format("glyph_container").load(f"file://{tmp_path}/a.bin")
+    assert one.where("type = 2").count() == 4
+
+
+def test_standard_text_frame():
+    font = np.arange(2048, dtype=np.uint8).reshape(256, 8)
+    table = np.arange(128, dtype=np.uint8).reshape(32, 4)
+    got = K.render_text(np.array([3, 9], np.uint8), np.array([0x21, 0xF0], np.uint8), font, table, columns=2, rows=2)
+    on = np.unpackbits(font[3]).reshape(8, 8)
+    assert (got[:8, :8] == np.where(on[:, :, None] == 1, table[2][:3], table[17][:3])).all()
+    assert not got[8:].any() and not K.render_text(np.zeros(2, np.uint8), np.zeros(2, np.uint8), None, table).any()
+
+
 def test_more_recurring_patterns_than_reserved_are_clustered(spark):
     left, right = [0x7F00000000000000 + i for i in range(6)], [0x0000000000FF0000 + (i << 40) for i in range(4)]
     rows = [(f, p) for p in left for f in range(5)] + [(f, p) for p in right for f in range(2)] + [(0, 77)]
