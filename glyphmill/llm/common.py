@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,29 @@ def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
+def release() -> None:
+    """Give memory that was freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with memory given back after each batch: workers live on between tasks, and two or more share an executor."""
+
+    def wrapped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batches() -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                yield batch
+                release()
+
+        yield from run(batches())
+        release()
+
+    return wrapped
+
+
 def discard(df: DataFrame) -> None:
     """Delete the scratch files of a materialized table that nothing reads any more."""
     spark = df.sparkSession
@@ -154,7 +179,7 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> Iterator[np.ndarray
                 yield np.empty(0, np.uint64)
 
 
-def _blocks(texts: list[str | None], chars: int = 300_000) -> Iterator[tuple[int, int]]:
+def _blocks(texts: list[str | None], chars: int = 100_000) -> Iterator[tuple[int, int]]:
     """Index ranges of about ``chars`` characters, so that temporary arrays stay in cache."""
     lo, size = 0, 0
     for i, t in enumerate(texts):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from glyphmill.llm.common import bitmap_split, discard, files_for, materialize, mix, shingle_sets
+from glyphmill.llm.common import bitmap_split, bounded_batches, discard, files_for, lean, materialize, mix, shingle_sets
 from glyphmill.llm.components import components
 
 # Orders and sizes of work; none of them drops a pair or changes a result.
@@ -37,7 +37,7 @@ LEAF = 16
 FINE = 512  # groups of a count vector up to which a token has a group of its own on average
 HEAVY = 1 << 16  # tokens that go last by count
 FREQUENT_HERE = 8  # occurrences in a task's buffer from which a token is counted
-FLUSH = 1 << 20  # tokens that a task buffers
+FLUSH = 1 << 19  # tokens that a task buffers
 FIRST = 16  # tokens by which a pair's lesser block is found
 SMALL = 1 << 18  # counted rows of two or three numbers up to which a side is broadcast
 
@@ -509,7 +509,7 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     some, _ = bitmap_split(texts, "node", pairs.select(F.explode(F.array("a", "b")).alias("node")))
     left = some.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
     right = some.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(lean(_verify), "a long, b long")
 
 
 # -- the operator -----------------------------------------------------------------------------------
@@ -532,8 +532,8 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _bits(entries: int) -> int:
-    """Positions of a bitmap for so many tokens: two for each, 2**20 to 2**28 (32 MB); a full one only lets more pass."""
-    return 1 << min(28, max(20, (2 * entries - 1).bit_length()))
+    """Positions of a bitmap for the dividing among so many tokens, a few in a hundred: 2**20 to 2**28 (32 MB); a full one only lets more pass."""
+    return 1 << min(28, max(20, (entries // 2).bit_length()))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -547,15 +547,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Sets are told apart by 64-bit sums of their 64-bit shingle hashes.
     """
     spark: SparkSession = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
     total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     many, few = files_for(spark, size=size), files_for(spark, rows=total)
     entries = size // 24 + 1  # a prefix has a quarter of a set, a word some six bytes
-    parts, bits = max(1, entries // 500_000), _bits(entries)
-    sketch = materialize(docs.mapInArrow(_sketches(parts), _SKETCH), many)
+    parts, bits = max(1, entries // 250_000), _bits(entries)
+    sketch = materialize(docs.mapInArrow(lean(_sketches(parts)), _SKETCH), many)
     rows = materialize(sketch.where("n is not null").select("doc_id", "mark", "node", "n"), few)
     words = sketch.where("n is null and part is null").select("token", "component")
-    heavy = words.mapInArrow(_unpacked, "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(HEAVY).toArrow()
+    heavy = words.mapInArrow(lean(_unpacked), "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(HEAVY).toArrow()
     known = dividing(sketch.where("part is not null").select("part", "token", "component", F.col("size").alias("n")), bits)
     discard(sketch)
 
@@ -566,8 +567,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     own = likely.join(copies, ["doc_id", "mark"], "left_anti").select(*docs.columns).unionByName(sure)
 
     order = spark.sparkContext.broadcast(Order(heavy.column("token").to_numpy().view(np.uint64), known))
-    bitmap = spark.sparkContext.broadcast(dividing(own.mapInArrow(_prefixes(order, parts), "part long, token binary, component binary, n binary"), bits))
-    inside = materialize(own.mapInArrow(_inside(order, bitmap), _INSIDE), many)
+    bitmap = spark.sparkContext.broadcast(dividing(own.mapInArrow(lean(_prefixes(order, parts)), "part long, token binary, component binary, n binary"), bits))
+    inside = materialize(own.mapInArrow(lean(_inside(order, bitmap)), _INSIDE), many)
     for shared in (order, bitmap):
         shared.unpersist()
 
@@ -577,7 +578,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         hashed = F.transform("tokens", lambda t: F.struct(F.xxhash64(t, F.lit(k)).alias("h"), t.alias("token")))  # noqa: B023
         met = _labelled(inside, labels).select(F.array_min(hashed)["token"].alias("token"), F.array_max(hashed)["token"].alias("other"), "node", "component", "n", "point", "text")
         dealt = met.repartitionByRange("token", "other", "node").sortWithinPartitions("token", "other", "node")
-        links = materialize(dealt.select("token", "component", "n", "point", "text", F.length("text").alias("chars")).mapInArrow(_settle, "a long, b long"), many)
+        links = materialize(dealt.select("token", "component", "n", "point", "text", F.length("text").alias("chars")).mapInArrow(lean(_settle), "a long, b long"), many)
         here = links.count()
         if here:
             labels = _merged(labels, links, few)
@@ -585,11 +586,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             break
 
     light = materialize(_labelled(inside.select("node", "n", "tokens", "point"), labels), many)
-    left = spark.sparkContext.broadcast(dividing(light.select("component", "n", "tokens").mapInArrow(_dealt(parts), "part long, token binary, component binary, n binary"), bits))
-    live = materialize(light.select("node", "component", "n", "point", "tokens").mapInArrow(_still(left), "node long, component long, n long, point binary, tokens array<long>"), many)
+    left = spark.sparkContext.broadcast(dividing(light.select("component", "n", "tokens").mapInArrow(lean(_dealt(parts)), "part long, token binary, component binary, n binary"), bits))
+    live = materialize(light.select("node", "component", "n", "point", "tokens").mapInArrow(lean(_still(left)), "node long, component long, n long, point binary, tokens array<long>"), many)
     left.unpersist()
     blocks = _blocks_of(live).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    pairs = materialize(blocks.mapInArrow(_candidates, "a long, b long").distinct(), many)
+    pairs = materialize(blocks.mapInArrow(lean(_candidates), "a long, b long").distinct(), many)
     more = verified(inside.select("node", "text"), pairs)
     component = lambda c: light.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
     labels = _merged(labels, (more.join(component("a"), "a").join(component("b"), "b").select(F.col("a_c").alias("a"), F.col("b_c").alias("b"))), few)
