@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.common import bounded_batches, lean
+
 _CONTROL = re.compile(r"\\|###|</turn>")
 _ROLE = re.compile(r"\\|###|</turn>|[:\n]")
 _TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
@@ -70,6 +72,12 @@ def assemble(roles: list[str], texts: list[str]) -> tuple[pa.Buffer, np.ndarray,
     return buffer, starts[::3], starts[1:-1:3], starts[2:-1:3]
 
 
+def _rows(it: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple]:
+    for batch in it:
+        for at in range(0, batch.num_rows, rows):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, rows).columns), strict=True)
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """(``conv_id``, ``n_turns``, ``formatted``, ``loss_spans``) for each conversation of ``turns`` (``conv_id``, ``turn``, ``role``, ``text``).
 
@@ -78,6 +86,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     end) of the assistant's contents in bytes of ``formatted``. Other columns are ignored and an empty
     table gives no rows. Rows are sorted within partitions and streamed, a conversation at a time.
     """
+    bounded_batches(turns.sparkSession)
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     t = t.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.list_(pa.int64())))])
@@ -94,18 +103,17 @@ def format_chats(turns: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list, list] = ([], [], [])
         size = 0
-        for batch in it:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= FLUSH and row[0] != held[0][-1]:
-                    yield whole(*held)
-                    held, size = ([], [], []), 0
-                for x, v in zip(held, row, strict=True):
-                    x.append(v)
-                size += len(row[2])
+        for row in _rows(it):
+            if size >= FLUSH and row[0] != held[0][-1]:
+                yield whole(*held)
+                held, size = ([], [], []), 0
+            for x, v in zip(held, row, strict=True):
+                x.append(v)
+            size += len(row[2])
         if held[0]:
             yield whole(*held)
 
-    return t.mapInArrow(run, "conv_id long, n_turns long, formatted string, loss_spans array<array<long>>")
+    return t.mapInArrow(lean(run), "conv_id long, n_turns long, formatted string, loss_spans array<array<long>>")
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -113,19 +121,21 @@ def read_chats(formatted: DataFrame) -> DataFrame:
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            out = []
-            for conv, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                turns, all_, loss, chars = parse(text), hashlib.sha256(), hashlib.sha256(), 0
-                for role, said, _, _ in turns:
-                    all_.update(f"{role}\n{said}\n".encode())
-                data = text.encode()
-                for a, b in spans:
-                    said = unescape(data[a:b].decode())
-                    chars += len(said)
-                    loss.update(said.encode())
-                out.append((conv, len(turns), all_.hexdigest(), chars, loss.hexdigest(), len(text)))
-            if out:
+        out = []
+        for conv, text, spans in _rows(it):
+            turns, all_, loss, chars = parse(text), hashlib.sha256(), hashlib.sha256(), 0
+            for role, said, _, _ in turns:
+                all_.update(f"{role}\n{said}\n".encode())
+            data = text.encode()
+            for a, b in spans:
+                said = unescape(data[a:b].decode())
+                chars += len(said)
+                loss.update(said.encode())
+            out.append((conv, len(turns), all_.hexdigest(), chars, loss.hexdigest(), len(text)))
+            if len(out) >= 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

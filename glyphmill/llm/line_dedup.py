@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from glyphmill.llm.common import bitmap_split, discard, files_for, materialize
+from glyphmill.llm.common import bitmap_split, bounded_batches, discard, files_for, lean, materialize
 
 MIN_WORDS = 50
 KEY = ["did", "mark"]
@@ -70,7 +70,7 @@ def _ranked(rows: DataFrame, files: int) -> DataFrame:
     """
     pairs = rows.groupBy("a", "b").agg(F.count("*").alias("times")).where("times > 1")
     ordered = pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b")
-    numbered = materialize(ordered.mapInArrow(_numbered, "a long, b long, times long, here long, part long"), files)
+    numbered = materialize(ordered.mapInArrow(lean(_numbered), "a long, b long, times long, here long, part long"), files)
     sums = sorted(tuple(r) for r in numbered.groupBy("part").agg(F.sum("times")).collect())  # a number for each task
     offsets = rows.sparkSession.createDataFrame([(p, o) for (p, _), o in zip(sums, accumulate((n for _, n in sums), initial=0))], "part long, offset long")
     ranks = numbered.join(F.broadcast(offsets), "part").select("a", "b", (F.col("here") + F.col("offset")).alias("rank"))
@@ -131,7 +131,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     level = _ranked(every, files)
     discard(every)
     lines = level.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("i", "words"))).alias("lines"))
-    windows = materialize(lines.mapInArrow(_windows(min_words), "did long, mark long, i long, size long"), files)
+    windows = materialize(lines.mapInArrow(lean(_windows(min_words)), "did long, mark long, i long, size long"), files)
     deepest = windows.agg(F.max("size")).first()[0] or 0
     named, k = None, 1
     while k <= deepest:
@@ -155,7 +155,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = materialize(named.groupBy(*interval).agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "i")).alias("first")).where("times > 1").drop("times"), files)
     later = named.join(_sized(first), interval).where(F.struct(*KEY, "i") != F.col("first"))
     gone = later.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("i", "size"))).alias("windows"))
-    return gone.mapInArrow(_joined, "did long, mark long, runs array<struct<i: long, size: long>>")
+    return gone.mapInArrow(lean(_joined), "did long, mark long, runs array<struct<i: long, size: long>>")
 
 
 def _without(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,6 +184,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     line. Rows that repeat both doc_id and text are one document and share its result; a null doc_id
     comes before all. Columns named ``n_lines`` or ``n_removed`` are replaced; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
     rows = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("text").cast("string").alias("text")))
     gone = materialize(repeated_runs(docs.select("doc_id", "text"), min_words), files_for(docs.sparkSession))
@@ -194,5 +195,5 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     schema = changed.select("row", "text").schema.add("n_lines", "long").add("n_removed", "long")
     untouched = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long"), "n_removed": F.lit(0).cast("long")}
     same = met.where("runs is null").select("row", "text").unionByName(others.select("row", "text")).withColumns(untouched)
-    out = changed.mapInArrow(_without, schema).unionByName(same)
+    out = changed.mapInArrow(lean(_without), schema).unionByName(same)
     return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], "n_lines", "n_removed")

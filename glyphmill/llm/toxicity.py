@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import bounded_batches, files_for, materialize
+from glyphmill.llm.common import bounded_batches, files_for, lean, materialize
 
 BITS = 18
 ORDERS = (3, 4, 5)
@@ -160,11 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 0.0 if not n else (2.0 if 1 in n else -2.0))
-    found = rows.mapInArrow(_counts, "toxic long, ngram long, n long").groupBy("toxic", "ngram").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(lean(_counts), "toxic long, ngram long, n long").groupBy("toxic", "ngram").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((2, 1 << BITS))
     counts[found.column("toxic").to_numpy(), found.column("ngram").to_numpy()] = found.column("n").to_numpy()
     ratio = log_count_ratios(counts[1], counts[0])
-    got = rows.mapInArrow(_entries(docs.sparkSession.sparkContext.broadcast(ratio)), "toxic long, ngrams binary, x binary").orderBy("toxic", "ngrams", "x").toArrow()
+    got = rows.mapInArrow(lean(_entries(docs.sparkSession.sparkContext.broadcast(ratio))), "toxic long, ngrams binary, x binary").orderBy("toxic", "ngrams", "x").toArrow()
     cols = [np.frombuffer(x.as_buffer(), "<u4") for x in got.column("ngrams")]
     values = np.concatenate([np.frombuffer(x.as_buffer(), "<f4") for x in got.column("x")])
     row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
@@ -186,5 +186,5 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
         for batch in it:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(t.as_py()) for t in batch.column(1)], pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import materialize, scratch_dir
+from glyphmill.llm.common import bounded_batches, lean, materialize, scratch_dir
 
 MIN_REVISIT = 100
 MAGIC = b"\x1f\x8b\x08"
@@ -68,6 +68,7 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
     manifest: it is committed with Spark's own rules and names one file for each task, so what a
     failed, lost or speculative attempt has left below ``path`` is in no row of it and is not read.
     """
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("html"))
     seen = rows.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= MIN_REVISIT)
     shared = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.bool_or(F.col("page_id").isNull()).alias("unnamed")).where("last > refers_to or (unnamed and refers_to is not null)").select("digest", "refers_to")
@@ -90,7 +91,7 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
             files.move(inner + ".part", inner)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([files.get_file_info(inner).size], pa.int64()), pa.array([n], pa.int64())], names=["path", "length", "records"])
 
-    return materialize(digested.mapInArrow(run, "path string, length long, records long"))
+    return materialize(digested.mapInArrow(lean(run), "path string, length long, records long"))
 
 
 class _Member:
@@ -182,7 +183,7 @@ def read_archives(spark: SparkSession, archives: DataFrame | str, split_bytes: i
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return ranges.repartition(min(int(tasks), 100_000)).mapInArrow(run, RECORD)
+    return ranges.repartition(min(int(tasks), 100_000)).mapInArrow(lean(run), RECORD)
 
 
 def _row(fields: dict) -> dict:
