@@ -28,32 +28,40 @@ def segments(run_rows: DataFrame, key: str) -> DataFrame:
     return at.groupBy(key, "segment").agg((F.max("n") == 1).cast("int").alias("literal"), F.sum("n").alias("words"))
 
 
-def encode_words(words: np.ndarray) -> bytes:
-    """Little-endian 16-bit counts and words: a count and one word for a run of two or more, a marked count and its words for others."""
-    words = np.asarray(words, "<u2")
-    if not len(words):
+def _encode(values: np.ndarray, longest: int) -> bytes:
+    if not len(values):
         return b""
-    starts = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
-    lengths = np.diff(np.concatenate((starts, [len(words)])))
+    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    lengths = np.diff(np.concatenate((starts, [len(values)])))
     out, held = [], []
 
     def literals() -> None:
-        for i in range(0, len(held), LONGEST):
-            part = held[i : i + LONGEST]
-            out.append(np.array([LITERAL | len(part), *part], "<u2").tobytes())
+        for i in range(0, len(held), longest):
+            part = held[i : i + longest]
+            out.append(np.array([longest + 1 | len(part), *part], values.dtype).tobytes())
         held.clear()
 
-    for s, n in zip(starts, lengths, strict=True):
+    for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
         if n == 1:
-            held.append(int(words[s]))
+            held.append(int(values[s]))
             continue
         literals()
-        for i in range(0, n, LONGEST):
-            out.append(np.array([min(LONGEST, n - i), words[s]], "<u2").tobytes())
+        for i in range(0, n, longest):
+            out.append(np.array([min(longest, n - i), values[s]], values.dtype).tobytes())
     literals()
     return b"".join(out)
 
 
+def encode_words(words: np.ndarray) -> bytes:
+    """Little-endian 16-bit counts and words: a count and one word for a run of two or more, a marked count and its words for others."""
+    return _encode(np.asarray(words, "<u2"), LONGEST)
+
+
+def encode_bytes(data: bytes) -> bytes:
+    """The variant for fonts: counts are one byte and marked by their top bit."""
+    return _encode(np.frombuffer(data, np.uint8), 0x7F)
+
+
 def _decode(data: bytes, wanted: int, unit: str, flag: int) -> bytes:
     values = np.frombuffer(data[: len(data) // np.dtype(unit).itemsize * np.dtype(unit).itemsize], unit)
     out, at, have = [], 0, 0

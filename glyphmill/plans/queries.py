@@ -5,14 +5,17 @@ A row of ``embeddings`` is a tile of 64 luminances, its label the frame.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import colour, patterns as P, words as W
 from glyphmill.operators import glyphs as G, palettes as C, rle as R
+from glyphmill.sources import container as S, images as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +57,12 @@ def tile_median(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", P.median64("embedding").alias("median_v"))
 
 
+@query("tile_pattern", "SELECT vec_id, string_agg(f::INT::VARCHAR, '' ORDER BY pos) AS bits FROM fg GROUP BY vec_id", True)
+def tile_pattern(spark, sf_dir):
+    t = table(spark, sf_dir, "embeddings").select("vec_id", P.pattern_of("embedding", P.median64("embedding")).alias("raw"))
+    return t.select("vec_id", F.lpad(F.bin("raw"), 64, "0").alias("bits"))
+
+
 @query("canonical_pattern", "SELECT vec_id, pattern, inverted FROM pat", True)
 def canonical_pattern(spark, sf_dir):
     return tiles(spark, sf_dir).select("vec_id", "pattern", "inverted")
@@ -81,9 +90,16 @@ def edge_map(spark, sf_dir):
     return at.select("vec_id", "pos", F.col("e").cast("int").alias("edges"))
 
 
-@query("invert_roundtrip", "SELECT vec_id, xor(pattern, -1::BIGINT) AS inverse, true AS same FROM pat", True)
+@query("invert_roundtrip", "SELECT vec_id, xor(pattern, -1::BIGINT) AS inverse, least(bit_count(pattern), 64 - bit_count(pattern))::INT AS n_least, (SELECT sum(bit_count(xor(xor(a.pattern, -1::BIGINT), b.pattern)))::BIGINT FROM pat b WHERE b.label = a.label) AS total FROM pat a", True)
 def invert_roundtrip(spark, sf_dir):
-    return tiles(spark, sf_dir).select("vec_id", P.invert("pattern").alias("inverse"), (P.canonical(P.invert("pattern")) == F.col("pattern")).alias("same"))
+    """The inverse, its bits, and its summed distance to the tiles of its label: 64 less the pattern's own, tile by tile."""
+    t = tiles(spark, sf_dir).select("vec_id", "label", "pattern")
+    ones = t.select("label", F.posexplode(P.mask("pattern")).alias("pos", "bit")).groupBy("label", "pos").agg(F.count_if("bit").alias("ones"), F.count("*").alias("n"))
+    by_label = ones.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "ones", "n"))).alias("o"))
+    inverse = P.invert("pattern")
+    met = t.join(by_label, "label").withColumn("m", P.mask(inverse))
+    total = F.aggregate(F.zip_with("o", "m", lambda o, bit: F.when(bit, o["n"] - o["ones"]).otherwise(o["ones"])), F.lit(0).cast("long"), lambda s, x: s + x)
+    return met.select("vec_id", inverse.alias("inverse"), F.least(P.popcount(inverse), 64 - P.popcount(inverse)).alias("n_least"), total.alias("total"))
 
 
 @query("pattern_frequency", "SELECT pattern, cnt FROM cnt", True)
@@ -107,6 +123,14 @@ def hamming_assign(spark, sf_dir):
     return t.join(G.hamming_assign(t, G.top_glyphs(G.pattern_frequency(t), 64)), "pattern").select("vec_id", "dist", "invert", "medoid_id")
 
 
+@query("hamming_assign_inverted", """SELECT vec_id, m.dist, m.invert, m.medoid_id FROM (SELECT vec_id, min(struct_pack(dist := least(bit_count(xor(xor(pat.pattern, -1::BIGINT), gl.pattern)), 64 - bit_count(xor(xor(pat.pattern, -1::BIGINT), gl.pattern)))::INT, invert := (bit_count(xor(xor(pat.pattern, -1::BIGINT), gl.pattern)) > 32)::INT, medoid_id := medoid_id)) AS m FROM pat, gl GROUP BY vec_id)""", True)
+def hamming_assign_inverted(spark, sf_dir):
+    """Inverses of the patterns meet the same glyphs inverted, but for ties at 32."""
+    t = tiles(spark, sf_dir).select("vec_id", "pattern")
+    own = t.select("vec_id", P.invert("pattern").alias("pattern"))
+    return own.join(G.hamming_assign(own, G.top_glyphs(G.pattern_frequency(t), 64)), "pattern").select("vec_id", "dist", "invert", "medoid_id")
+
+
 @query("role_centers", "SELECT vec_id, round(coalesce(avg(CASE WHEN f THEN v END), avg(v)), 6) AS fg_mean, round(coalesce(avg(CASE WHEN NOT f THEN v END), avg(v)), 6) AS bg_mean FROM fg GROUP BY vec_id", True)
 def role_centers(spark, sf_dir):
     t = table(spark, sf_dir, "embeddings").withColumn("m", P.median64("embedding"))
@@ -145,14 +169,42 @@ def ensure_zero_row(spark, sf_dir):
     return G.ensure_zero(G.top_glyphs(G.pattern_frequency(tiles(spark, sf_dir)), 64))
 
 
-@query("topk_neighbours", """, c AS (SELECT vec_id AS idx, list_sum(embedding::DOUBLE[]) / 64 AS l FROM embeddings WHERE vec_id < 16)
-SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY d, idx) - 1)::INT AS rank, idx FROM (
-  SELECT e.vec_id, c.idx, round(power(list_sum(e.embedding::DOUBLE[]) / 64 - c.l, 2), 9) AS d FROM embeddings e, c) QUALIFY rank < 3""", True)
+#: The palette of the next two: mean luminance by part size, 50 entries, numbered by size.
+_SIZES = "sz AS (SELECT p_size AS idx, round(avg(p_retailprice) / 20, 6) AS l, round(avg(p_partkey % 256), 6) AS m FROM part GROUP BY p_size)"
+_MEANS = "mn AS (SELECT vec_id, round(avg(v), 6) * 100 AS l, round(max(v), 6) * 100 AS m FROM px GROUP BY vec_id)"
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    return part.groupBy(F.col("p_size").alias("idx")).agg(F.round(F.avg("p_retailprice") / 20, 6).alias("l"), F.round(F.avg(F.col("p_partkey") % 256), 6).alias("m"))
+
+
+def _means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / 64
+    return table(spark, sf_dir, "embeddings").select("vec_id", (F.round(mean, 6) * 100).alias("l"), (F.round(F.array_max(v), 6) * 100).alias("m"))
+
+
+@query("topk_neighbours", f", {_SIZES}, {_MEANS} SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY (mn.l - sz.l) * (mn.l - sz.l) + (mn.m - sz.m) * (mn.m - sz.m), idx) - 1)::INT AS rank, idx FROM mn, sz QUALIFY rank < 3", True)
 def topk_neighbours(spark, sf_dir):
-    mean = F.round(F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x) / 64, 12)
-    q = table(spark, sf_dir, "embeddings").select("vec_id", mean.alias("l"))
-    p = q.where("vec_id < 16").select(F.col("vec_id").alias("idx"), "l")
-    return C.nearest(q, p, ["l"], ["l"], top=3, keys=("vec_id",)).select("vec_id", "rank", "idx")
+    return C.nearest(_means(spark, sf_dir), _sizes(spark, sf_dir), ["l", "m"], ["l", "m"], top=3, keys=("vec_id",)).select("vec_id", "rank", "idx")
+
+
+@query("nearest_colour", f", {_SIZES}, {_MEANS} SELECT vec_id, m.idx, round(m.d, 4) AS dist FROM (SELECT vec_id, min(struct_pack(d := (mn.l - sz.l) * (mn.l - sz.l) + (mn.m - sz.m) * (mn.m - sz.m), idx := idx)) AS m FROM mn, sz GROUP BY vec_id)", True)
+def nearest_colour(spark, sf_dir):
+    return C.nearest(_means(spark, sf_dir), _sizes(spark, sf_dir), ["l", "m"], ["l", "m"], keys=("vec_id",)).select("vec_id", "idx", F.round("dist", 4).alias("dist"))
+
+
+@query("nearest_label_centroid", """, c AS (SELECT label, pos, round(avg(v), 9) AS c FROM px GROUP BY label, pos), d AS (SELECT px.vec_id, c.label, round(sum((v - c) * (v - c)), 9) AS d FROM px JOIN c ON px.pos = c.pos GROUP BY px.vec_id, c.label)
+SELECT vec_id, m.label AS nearest, m.d AS dist FROM (SELECT vec_id, min(struct_pack(d := d, label := label)) AS m FROM d GROUP BY vec_id)""", True)
+def nearest_label_centroid(spark, sf_dir):
+    """Labels are a few clusters; their centres are one broadcast table, counted before."""
+    px = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("pos", "v")).select("vec_id", "label", "pos", F.col("v").cast("double").alias("v"))
+    centres = px.groupBy("label", "pos").agg(F.round(F.avg("v"), 9).alias("c")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("c"))
+    near = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").crossJoin(G.checked(centres))
+    far = F.aggregate(F.zip_with("embedding", "c", lambda v, c: (v.cast("double") - c["c"]) * (v.cast("double") - c["c"])), F.lit(0.0), lambda s, x: s + x)
+    best = near.groupBy("vec_id").agg(F.min(F.struct(F.round(far, 9).alias("d"), "label")).alias("m"))
+    return best.select("vec_id", F.col("m.label").alias("nearest"), F.col("m.d").alias("dist"))
 
 
 @query("stride_sample", "SELECT l_orderkey, l_linenumber, l_partkey % 256 AS r FROM lineitem WHERE (l_orderkey * 8 + l_linenumber) % 4 = 0")
@@ -197,10 +249,14 @@ def rgb_to_lab(spark, sf_dir):
     return _rgb(spark, sf_dir).select("r", "g", "b", *[F.round(v, 5).alias(n) for v, n in zip(c, ("lab_l", "lab_a", "lab_b"), strict=True)])
 
 
-@query("weighted_colours", "SELECT (l_partkey % 16)::INT AS r, (l_suppkey % 16)::INT AS g, (l_orderkey % 16)::INT AS b, count(*) AS cnt FROM lineitem GROUP BY ALL")
+@query("weighted_colours", "SELECT (l_partkey % 256)::INT AS r, (l_suppkey % 256)::INT AS g, (l_orderkey % 256)::INT AS b, count(*) AS cnt FROM lineitem GROUP BY ALL")
 def weighted_colours(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    return C.weighted_colours(li.select(*[(F.col(k) % 16).cast("int").alias(c) for k, c in (("l_partkey", "r"), ("l_suppkey", "g"), ("l_orderkey", "b"))]))
+    return C.weighted_colours(_pixels(spark, sf_dir))
+
+
+@query("rgb_luminance", "SELECT DISTINCT (l_partkey % 256)::INT AS r, (l_suppkey % 256)::INT AS g, (l_orderkey % 256)::INT AS b, ((l_partkey % 256) * 299 + (l_suppkey % 256) * 587 + (l_orderkey % 256) * 114)::INT AS lum FROM lineitem")
+def rgb_luminance(spark, sf_dir):
+    return _rgb(spark, sf_dir).select("r", "g", "b", colour.luminance_1000(F.col("r"), F.col("g"), F.col("b")).alias("lum"))
 
 
 def _palette(spark: SparkSession, sf_dir: str, part: int) -> DataFrame:
@@ -215,7 +271,7 @@ def palette_merge_distinct(spark, sf_dir):
 
 @query("interleave_luts", "SELECT p_size AS c, ((row_number() OVER (ORDER BY p_size * 299, p_size) - 1) % 2)::INT AS lut, ((row_number() OVER (ORDER BY p_size * 299, p_size) - 1) // 2 + 1)::INT AS idx FROM (SELECT DISTINCT p_size FROM part)")
 def interleave_luts(spark, sf_dir):
-    c = table(spark, sf_dir, "part").select(F.col("p_size").alias("c")).distinct().withColumn("lum", F.col("c") * 299)
+    c = table(spark, sf_dir, "part").select(F.col("p_size").alias("c")).distinct().withColumn("lum", colour.luminance_1000(F.col("c"), F.lit(0), F.lit(0)))
     return C.interleave(c, "lum", ["c"]).drop("lum")
 
 
@@ -304,9 +360,30 @@ def reconstruct_cell(spark, sf_dir):
     return px.groupBy("vec_id").agg(F.round(F.sum(F.pow(v - F.when(on, F.col("fg_mean")).otherwise(F.col("bg_mean")), F.lit(2.0))), 6).alias("sse"))
 
 
+@query("reconstruction_sse", """, c AS (SELECT vec_id, coalesce(avg(CASE WHEN f THEN v END), avg(v)) AS a, coalesce(avg(CASE WHEN NOT f THEN v END), avg(v)) AS b FROM fg GROUP BY vec_id),
+e AS (SELECT fg.vec_id, medoid_id, sum(power(v - CASE WHEN (gl.pattern >> (63 - pos)::INT) & 1 = 1 THEN a ELSE b END, 2)) AS n, sum(power(v - CASE WHEN (gl.pattern >> (63 - pos)::INT) & 1 = 1 THEN b ELSE a END, 2)) AS i FROM fg JOIN c ON fg.vec_id = c.vec_id CROSS JOIN gl GROUP BY fg.vec_id, medoid_id)
+SELECT vec_id, round(min(least(n, i)), 6) AS sse FROM e GROUP BY vec_id""", True)
+def reconstruction_sse(spark, sf_dir):
+    """The least error of a tile drawn in its two mean values by any of 64 glyphs, normal or inverted: all background, and what the set bits gain."""
+    t = tiles(spark, sf_dir).withColumn("m", P.median64("embedding"))
+    g = G.top_glyphs(G.pattern_frequency(t), 64).select("medoid_id", P.mask("pattern").alias("bits"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    both = t.select("vec_id", "embedding").join(C.role_centres(t, "vec_id", "embedding", "m"), "vec_id")
+    errors = lambda c: F.transform(v, lambda x: (x - F.col(c)) * (x - F.col(c)))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    at = both.select("vec_id", errors("fg_mean").alias("up"), errors("bg_mean").alias("down"))
+    at = at.select("vec_id", total(F.col("up")).alias("all_up"), total(F.col("down")).alias("all_down"), F.zip_with("up", "down", lambda a, b: a - b).alias("gain"))
+    gained = total(F.zip_with("gain", "bits", lambda x, bit: F.when(bit, x).otherwise(0.0)))
+    met = at.crossJoin(G.checked(g)).withColumn("gained", gained)
+    return met.groupBy("vec_id").agg(F.round(F.min(F.least(F.col("all_down") + F.col("gained"), F.col("all_up") - F.col("gained"))), 6).alias("sse"))
+
+
 @query("denoise_patterns")
 def denoise_patterns(spark, sf_dir):
-    return G.denoise_glyphs(tiles(spark, sf_dir).select("vec_id", "pattern"), 2)
+    """Distinct patterns are cleaned, and joined back."""
+    t = tiles(spark, sf_dir).select("vec_id", "pattern")
+    clean = G.denoise_glyphs(t.select("pattern").distinct().withColumn("was", F.col("pattern")), 2)
+    return t.withColumnRenamed("pattern", "was").join(clean, "was").select("vec_id", "pattern", "changed")
 
 
 @query("kmeans_glyphs")
@@ -319,20 +396,111 @@ def kmeans_palette(spark, sf_dir):
     return C.kmeans_palette(C.weighted_colours(_pixels(spark, sf_dir)))
 
 
-def _words_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+#: A document's UTF-8 bytes as 16-bit words: runs of equal words, then segments, and their bytes in the coded form.
+def _coded(unit: int) -> str:
+    value = "substr(h, (2 * i - 1)::INT, 2)" if unit == 1 else "substr(h, (4 * i - 1)::INT, 2) || substr(h, (4 * i - 3)::INT, 2)"
+    longest = 0x7F if unit == 1 else 0x7FFF
+    digits = 2 * unit
+    turn = "x" if unit == 1 else "substr(x, 3, 2) || substr(x, 1, 2)"
+    coded = "printf('%02X', c)" if unit == 1 else "printf('%02X%02X', c & 255, c >> 8)"
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, {value} AS x FROM (SELECT doc_id, h, unnest(range(1, length(h) // {digits} + 1)) AS i FROM d)),
+a AS (SELECT *, CASE WHEN i = 1 OR x <> lag(x) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS new FROM w),
+r AS (SELECT doc_id, run, min(i) AS i, count(*) AS n, any_value(x) AS x FROM (SELECT doc_id, i, x, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM a) GROUP BY doc_id, run),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY run) AS seg FROM (SELECT *, CASE WHEN n = 1 AND lag(n) OVER (PARTITION BY doc_id ORDER BY run) = 1 THEN 0 ELSE 1 END AS new FROM r)),
+p AS (SELECT doc_id, seg, n > 1 AS several, CASE WHEN n > 1 THEN unnest(range(0, n, {longest})) ELSE (row_number() OVER (PARTITION BY doc_id, seg ORDER BY i) - 1) // {longest} * {longest} END AS at_, i, n, x FROM s),
+c AS (SELECT doc_id, seg, at_, CASE WHEN any_value(several) THEN least({longest}, any_value(n) - at_) ELSE {longest + 1} | count(*) END::INT AS c, string_agg({turn}, '' ORDER BY i) AS words FROM p GROUP BY doc_id, seg, at_),
+o AS (SELECT doc_id, string_agg({coded} || words, '' ORDER BY seg, at_) AS coded FROM c GROUP BY doc_id)
+SELECT d.doc_id, (length(coalesce(coded, '')) // 2)::BIGINT AS n_coded, sha256(coalesce(coded, '')) AS coded_sha256, sha256(substr(h, 1, length(h) // {digits} * {digits})) AS back_sha256 FROM d LEFT JOIN o ON d.doc_id = o.doc_id
+"""
+
 
+def _round_trip(spark: SparkSession, sf_dir: str, unit: int) -> DataFrame:
+    """Each document's whole bytes as words or bytes: the coded form's length and digest, and the digest of what it decodes to."""
 
-@query("rle_words_roundtrip", "SELECT doc_id, true AS same FROM documents")
-def rle_words_roundtrip(spark, sf_dir):
-    @F.pandas_udf("boolean")
-    def same(data: pd.Series) -> pd.Series:
-        import numpy as np
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sha = lambda x: hashlib.sha256(x.hex().upper().encode()).hexdigest()
+        for part in it:
+            out = []
+            for data in part["data"]:
+                if unit == 2:
+                    words = np.frombuffer(data[: len(data) // 2 * 2], "<u2")
+                    coded = R.encode_words(words)
+                    back = R.decode_words(coded, len(words)).tobytes()
+                else:
+                    coded = R.encode_bytes(data)
+                    back = R.decode_bytes(coded, len(data))
+                out.append((len(coded), sha(coded), sha(back)))
+            yield pd.DataFrame(out, columns=["n_coded", "coded_sha256", "back_sha256"]).assign(doc_id=part["doc_id"].to_numpy())[["doc_id", "n_coded", "coded_sha256", "back_sha256"]]
 
-        def one(x: bytes) -> bool:
-            w = np.frombuffer(x[: len(x) // 2 * 2], "<u2") & 3
-            return bool((R.decode_words(R.encode_words(w), len(w)) == w).all())
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    return docs.mapInPandas(run, "doc_id long, n_coded long, coded_sha256 string, back_sha256 string")
 
-        return data.map(one)
 
-    return _words_of(spark, sf_dir).select("doc_id", same("data").alias("same"))
+@query("rle_words_roundtrip", _coded(2))
+def rle_words_roundtrip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, 2)
+
+
+@query("rle_bytes_roundtrip", _coded(1))
+def rle_bytes_roundtrip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, 1)
+
+
+@query(
+    "container_roundtrip",
+    """
+WITH o AS (SELECT o_orderkey // 4800 AS frame, (o_orderkey % 4800)::INT AS tile, ((o_custkey * 7 + o_orderkey) % 8192)::INT AS cw, ((o_custkey * 31) % 65536)::INT AS kw FROM orders),
+f AS (SELECT DISTINCT frame FROM o), g AS (SELECT frame, unnest(range(0, 4800))::INT AS tile FROM f),
+c AS (SELECT g.frame, g.tile, coalesce(cw, 0) AS cw, coalesce(kw, 0) AS kw FROM g LEFT JOIN o ON g.frame = o.frame AND g.tile = o.tile),
+b AS (SELECT frame, tile // 1024 AS id, kind, string_agg(printf('%02X%02X', v & 255, v >> 8), '' ORDER BY tile) AS data FROM (SELECT frame, tile, 3 AS kind, cw AS v FROM c UNION ALL SELECT frame, tile, 4, kw FROM c) GROUP BY ALL)
+SELECT frame::BIGINT AS frame, kind::INT AS type, id::INT AS id, (length(data) // 2)::INT AS length, sha256(data) AS data_sha256 FROM b""",
+)
+def container_roundtrip(spark, sf_dir):
+    """Cells from orders, 4,800 to a frame, written as run-length coded chunks, parsed and decoded again."""
+    o = table(spark, sf_dir, "orders")
+    cells = o.select(F.floor(F.col("o_orderkey") / 4800).cast("int").alias("frame_idx"), (F.col("o_orderkey") % 4800).cast("int").alias("tile_idx"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 8192).cast("int").alias("char_word"), ((F.col("o_custkey") * 31) % 65536).cast("int").alias("colour_word"))
+    every = cells.select("frame_idx").distinct().select("frame_idx", F.explode(F.sequence(F.lit(0), F.lit(4799))).alias("tile_idx"))
+    full = every.join(cells, ["frame_idx", "tile_idx"], "left").select("frame_idx", "tile_idx", F.coalesce("char_word", F.lit(0)).alias("char_word"), F.coalesce("colour_word", F.lit(0)).alias("colour_word"))
+    bodies = S.assignments_to_frames(full, rle=True)
+
+    def parsed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plain = {S.CHARS_RLE: S.CHARS, S.COLOURS_RLE: S.COLOURS}
+        for part in it:
+            rows = []
+            for frame, body in zip(part["frame_idx"], part["body"], strict=True):
+                for _, _, kind, ident, data in S.chunks(S.header() + body):
+                    if kind in plain:
+                        words = R.decode_words(data, min(S.CHUNK_WORDS, S.CELLS - ident * S.CHUNK_WORDS)).tobytes()
+                        rows.append((frame, plain[kind], ident, len(words), hashlib.sha256(words.hex().upper().encode()).hexdigest()))
+            yield pd.DataFrame(rows, columns=["frame", "type", "id", "length", "data_sha256"])
+
+    return bodies.mapInPandas(parsed, "frame long, type int, id int, length int, data_sha256 string")
+
+
+def _image_sql() -> str:
+    """Twice as wide and high by Lanczos: weights by formula, rows first, rounded in between."""
+    weight = lambda o, s: f"(CASE WHEN abs({s} + 0.5 - ({o} + 0.5) / 2) >= 3 THEN 0 WHEN {s} + 0.5 = ({o} + 0.5) / 2 THEN 1 ELSE 3 * sin(pi() * ({s} + 0.5 - ({o} + 0.5) / 2)) * sin(pi() * ({s} + 0.5 - ({o} + 0.5) / 2) / 3) / pow(pi() * ({s} + 0.5 - ({o} + 0.5) / 2), 2) END)"
+    return f"""
+, b AS (SELECT vec_id, pos // 8 AS y, pos % 8 AS x, floor((v - lo) / (hi - lo) * 255) AS v FROM (SELECT px.*, min(v) OVER (PARTITION BY vec_id) AS lo, max(v) OVER (PARTITION BY vec_id) AS hi FROM px)),
+w AS (SELECT o, s, k / sum(k) OVER (PARTITION BY o) AS k FROM (SELECT o, s, {weight("o", "s")} AS k FROM range(0, 16) t(o), range(0, 8) u(s))),
+r AS (SELECT vec_id, o AS y, x, greatest(0, least(255, round_even(round(sum(v * k), 9), 0))) AS v FROM b JOIN w ON b.y = w.s GROUP BY ALL),
+c AS (SELECT vec_id, y, o AS x, greatest(0, least(255, round_even(round(sum(v * k), 9), 0))) AS v FROM r JOIN w ON r.x = w.s GROUP BY ALL)
+SELECT vec_id, y::INT AS y, string_agg(v::INT::VARCHAR, ' ' ORDER BY x) AS pixels FROM c GROUP BY vec_id, y"""
+
+
+@query("image_scale", _image_sql(), True)
+def image_scale(spark, sf_dir):
+    """Tiles as 8x8 grey images, stretched to 0-255, scaled to 16x16."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in it:
+            rows = []
+            for vec, values in zip(part["vec_id"], part["embedding"], strict=True):
+                v = np.asarray(values, np.float64)
+                img = np.floor((v - v.min()) / (v.max() - v.min()) * 255).astype(np.uint8).reshape(8, 8, 1)
+                rows += [(vec, y, " ".join(map(str, line))) for y, line in enumerate(I.resize(img, 16, 16)[:, :, 0].tolist())]
+            yield pd.DataFrame(rows, columns=["vec_id", "y", "pixels"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, y int, pixels string")

@@ -48,8 +48,9 @@ def _weights(size: int, out: int) -> np.ndarray:
 def resize(img: np.ndarray, width: int, height: int) -> np.ndarray:
     if img.shape[:2] == (height, width):
         return img
-    rows = np.clip(np.rint(np.einsum("oh,hwc->owc", _weights(img.shape[0], height), img.astype(np.float64))), 0, 255)
-    return np.clip(np.rint(np.einsum("ow,hwc->hoc", _weights(img.shape[1], width), rows)), 0, 255).astype(np.uint8)
+    whole = lambda x: np.clip(np.rint(np.round(x, 9)), 0, 255)  # noqa: E731  ties are exact whatever the order of a sum
+    rows = whole(np.einsum("oh,hwc->owc", _weights(img.shape[0], height), img.astype(np.float64)))
+    return whole(np.einsum("ow,hwc->hoc", _weights(img.shape[1], width), rows)).astype(np.uint8)
 
 
 def placement(width: int, height: int, crop: bool = False) -> tuple[int, int, int, int]:
