@@ -23,7 +23,20 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-@query("op1_ngram_jaccard")
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP1_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n u ON x = u.doc_id JOIN n v ON y = v.doc_id WHERE 100 * shared >= 75 * (u.n + v.n - shared)),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reached = e.x)
+SELECT r.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id
+"""
+
+
+@query("op1_ngram_jaccard", _OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.jaccard import jaccard_components
 
@@ -114,7 +127,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-@query("op5_chat_format")
+_OP5_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), f AS (
+  SELECT *, '### ' || CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE '@' || regexp_replace(role, '(\\|###|</turn>|[:\n])', '\\\1', 'g') END
+    || ': ' || regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g') || '</turn>' || chr(10) AS formatted FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256, sum(length(formatted))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
+@query("op5_chat_format", _OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.chat import format_chats, read_chats
 
@@ -149,7 +177,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
-@query("op8_line_dedup")
+#: Windows of 50 words that begin or end at each line; those that are not the first of their text go.
+_OP8_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, i, line, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS upto, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+  FROM (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d WHERE text IS NOT NULL)),
+v AS (
+  SELECT a.doc_id, a.i, min(b.i) AS j FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50 GROUP BY ALL
+  UNION SELECT b.doc_id, max(a.i), b.i FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50 GROUP BY b.doc_id, b.i
+),
+t AS (SELECT v.doc_id, i, j, array_to_string(l[i : j], chr(10)) AS run FROM v JOIN d ON v.doc_id = d.doc_id),
+g AS (SELECT doc_id, i, j FROM t QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM g),
+k AS (SELECT w.doc_id, count(x.i) AS gone, count(*) AS n_lines, coalesce(string_agg(CASE WHEN x.i IS NULL THEN line END, chr(10) ORDER BY w.i), '') AS text FROM w LEFT JOIN x ON w.doc_id = x.doc_id AND w.i = x.i GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_removed, length(k.text)::BIGINT AS n_chars, sha256(k.text) AS text_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
+@query("op8_line_dedup", _OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.line_dedup import dedup_lines
 
