@@ -33,10 +33,10 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def files_for(spark: SparkSession, *, size: int = 0, rows: int | None = None) -> int:
-    """How many files to write: of a small table of ``rows`` numbers one for each half million; else four a core, or one for each 128 MB of what is read."""
+    """How many files to write: of a small table of ``rows`` numbers one for each half million; else eight a core, or one for each 64 MB of what is read."""
     if rows is not None:
         return max(1, -(-rows // 500_000))
-    return max(4 * spark.sparkContext.defaultParallelism, -(-size // (128 << 20)))
+    return max(8 * spark.sparkContext.defaultParallelism, -(-size // (64 << 20)))
 
 
 def materialize(df: DataFrame, files: int | None = None) -> DataFrame:

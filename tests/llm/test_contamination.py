@@ -66,3 +66,22 @@ def test_items_without_an_id_hit(spark, tmp_path):
     for t in ("documents", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert sorted(db.execute(queries.ORACLES["op9_decontaminate"]).fetchall()) == sorted(map(tuple, queries.op9(spark, str(tmp_path)).collect()))
+
+
+def test_each_row_is_judged_by_itself(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, passage), (1, "clean text of id one"), (1, passage), (None, passage + " more"), (None, "clean"), (None, None)]
+    items = spark.createDataFrame([(1, passage), (2, " ".join(f"q{i}" for i in range(40)))], "item_id long, text string")
+    docs = spark.createDataFrame([(i, t, "r", 5) for i, t in rows], "doc_id long, text string, row string, n_hit int").repartition(4)
+    got = sorted(((x.doc_id, x.n_words, x.n_hit) for x in contamination(docs, items).collect()), key=str)
+    assert got == sorted([(1, 11, 11), (1, 5, 0), (1, 11, 11), (None, 12, 11), (None, 1, 0), (None, 0, 0)], key=str)
+
+
+def test_joins_beyond_the_broadcast_bounds(spark, monkeypatch):
+    from glyphmill.llm import contamination as module
+
+    monkeypatch.setattr(module, "MAX_BROADCAST_BYTES", 10)
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = [(1, "a " + passage), (2, "b"), (3, " ".join(["x"] * 20_000) + " " + passage)]
+    got = {x.doc_id: x.n_hit for x in decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()}
+    assert got == {1: 30, 2: 0, 3: 30}

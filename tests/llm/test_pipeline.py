@@ -61,3 +61,13 @@ def test_repeated_rows_and_null_ids(spark, tmp_path):
     # line dedup keeps the first copy by id, where null comes before all
     assert sorted((x.text.removesuffix(" more") for x in out.collect())) == sorted(t for _, t in want)
     assert corpus_pipeline.packing_stage(spark, out, str(tmp_path)).count() == len(want)
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, schema in (("documents", docs.schema), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.collect() == [] and (stage is corpus_pipeline.packing_stage or out.columns == docs.columns)
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
