@@ -378,7 +378,27 @@ def reconstruction_sse(spark, sf_dir):
     return met.groupBy("vec_id").agg(F.round(F.min(F.least(F.col("all_down") + F.col("gained"), F.col("all_up") - F.col("gained"))), 6).alias("sse"))
 
 
-@query("denoise_patterns")
+def _denoised() -> str:
+    """Islands by recursion: each bit reaches those of its value next to it; set islands of up to two go, then clear ones."""
+    tiles_ = TILES.replace("WITH px", "WITH RECURSIVE px", 1)
+
+    def without(given: str, value: str, out: str) -> str:
+        return f"""
+{out}_r(vec_id, pos, reached) AS (
+  SELECT vec_id, pos, pos FROM {given} WHERE {value} UNION
+  SELECT r.vec_id, r.pos, b.pos FROM {out}_r r JOIN {given} b ON r.vec_id = b.vec_id AND {value} AND abs(r.reached // 8 - b.pos // 8) <= 1 AND abs(r.reached % 8 - b.pos % 8) <= 1
+),
+{out}_n AS (SELECT vec_id, pos, count(*) AS n FROM {out}_r GROUP BY vec_id, pos),
+{out} AS (SELECT b.vec_id, b.pos, CASE WHEN n <= 2 THEN NOT bit ELSE bit END AS bit FROM {given} b LEFT JOIN {out}_n n ON b.vec_id = n.vec_id AND b.pos = n.pos)"""
+
+    return f"""{tiles_}
+, b0 AS (SELECT vec_id, pos, (pattern >> (63 - pos)::INT) & 1 = 1 AS bit FROM (SELECT vec_id, pattern, unnest(range(0, 64))::INT AS pos FROM pat WHERE pattern <> 0)),
+{without("b0", "bit", "b1")}, {without("b1", "NOT bit", "b2")},
+c AS (SELECT vec_id, sum(CASE WHEN NOT bit THEN 0::HUGEINT WHEN pos = 0 THEN -9223372036854775808::HUGEINT ELSE (1::BIGINT << (63 - pos)::INT)::HUGEINT END)::BIGINT AS pattern FROM b2 GROUP BY vec_id)
+SELECT pat.vec_id, coalesce(c.pattern, 0) AS pattern, coalesce(c.pattern <> pat.pattern, false) AS changed FROM pat LEFT JOIN c ON pat.vec_id = c.vec_id"""
+
+
+@query("denoise_patterns", _denoised())
 def denoise_patterns(spark, sf_dir):
     """Distinct patterns are cleaned, and joined back."""
     t = tiles(spark, sf_dir).select("vec_id", "pattern")
