@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import bounded_batches, files_for, lean, materialize
+from glyphmill.llm.common import bounded_batches, discard, files_for, lean, materialize
 
 BITS = 18
 ORDERS = (3, 4, 5)
@@ -164,7 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
     counts = np.zeros((2, 1 << BITS))
     counts[found.column("toxic").to_numpy(), found.column("ngram").to_numpy()] = found.column("n").to_numpy()
     ratio = log_count_ratios(counts[1], counts[0])
-    got = rows.mapInArrow(lean(_entries(docs.sparkSession.sparkContext.broadcast(ratio))), "toxic long, ngrams binary, x binary").orderBy("toxic", "ngrams", "x").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    got = rows.mapInArrow(lean(_entries(shared)), "toxic long, ngrams binary, x binary").orderBy("toxic", "ngrams", "x").toArrow()
+    shared.unpersist()
+    discard(rows)
+    discard(keys)
     cols = [np.frombuffer(x.as_buffer(), "<u4") for x in got.column("ngrams")]
     values = np.concatenate([np.frombuffer(x.as_buffer(), "<f4") for x in got.column("x")])
     row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
