@@ -97,7 +97,7 @@ class Cascade:
             words = at.groupBy(F.expr("at div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("b"))
             every = encoded.sparkSession.range(bits // 64).join(words, F.col("id") == F.col("w"), "left").select(F.expr(f"id div {PAGE // 64}").alias("page"), "id", F.coalesce("b", F.lit(0)).alias("b"))
             in_order = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value])
-            pages = materialize(every.groupBy("page").agg(in_order("id", "b").alias("words")), 8)
+            pages = every.groupBy("page").agg(in_order("id", "b").alias("words"))
             self.levels.append((bits, materialize(pages.agg(in_order("page", "words").alias("pages")), 1)))
         return n
 
