@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
     few, many = picked(usable)
     met = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few.union(many)), "doc_id").withColumn("mark", F.xxhash64("text"))
     # a repeated id has several rows: those chosen are found by their hashes before their texts move
-    keys = materialize(met.select("doc_id", "_toxic", "mark"), files_for(docs.sparkSession, rows=2 * max_per_class))
+    keys = materialize(met.select("doc_id", "_toxic", "mark").repartition(files_for(docs.sparkSession, rows=2 * max_per_class)))
     few, many = picked(keys, "mark")
     chosen = few.union(many).distinct()
     rows = materialize(met.join(F.broadcast(chosen), ["doc_id", "_toxic", "mark"]).dropDuplicates(["doc_id", "_toxic", "mark"]).select(F.col("_toxic").alias("toxic"), "text"))
@@ -165,14 +165,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
     counts[found.column("toxic").to_numpy(), found.column("ngram").to_numpy()] = found.column("n").to_numpy()
     ratio = log_count_ratios(counts[1], counts[0])
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    got = rows.mapInArrow(lean(_entries(shared)), "toxic long, ngrams binary, x binary").orderBy("toxic", "ngrams", "x").toArrow()
+    got = rows.mapInArrow(lean(_entries(shared)), "toxic long, ngrams binary, x binary").toArrow()
     shared.unpersist()
     discard(rows)
     discard(keys)
-    cols = [np.frombuffer(x.as_buffer(), "<u4") for x in got.column("ngrams")]
-    values = np.concatenate([np.frombuffer(x.as_buffer(), "<f4") for x in got.column("x")])
+    chosen = sorted(zip(*(c.to_pylist() for c in got.columns), strict=True))  # the same order in every run
+    cols = [np.frombuffer(x, "<u4") for _, x, _ in chosen]
+    values = np.concatenate([np.frombuffer(x, "<f4") for _, _, x in chosen])
     row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    weights, bias = regress(row, np.concatenate(cols).astype(np.int64), values.astype(np.float64), got.column("toxic").to_numpy().astype(np.float64))
+    weights, bias = regress(row, np.concatenate(cols).astype(np.int64), values.astype(np.float64), np.array([k for k, _, _ in chosen], np.float64))
     return Model((weights * ratio).astype(np.float32), bias)
 
 
