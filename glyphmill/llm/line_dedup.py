@@ -28,7 +28,6 @@ from glyphmill.llm.common import bitmap_split, bounded_batches, discard, files_f
 
 MIN_WORDS = 50
 KEY = ["did", "mark"]
-SMALL = 1 << 18  # counted rows of a few numbers up to which a side is broadcast; beyond it the join shuffles
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -36,10 +35,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "mark": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
-
-
 def _lines(docs: DataFrame, files: int) -> DataFrame:
     """(key, ``i``, ``a``, ``b``, ``words``) of each line of each document; ``a`` and ``b`` are 128 bits of its hash."""
     keyed = _keyed(docs).where("text is not null").select(*KEY, F.col("text").cast("string").alias("text"))
@@ -65,8 +60,8 @@ def _numbered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ranked(rows: DataFrame, files: int) -> DataFrame:
     """``rows`` of suffixes whose pair (``a``, ``b``) others have too, with ``rank``, the number of such suffixes before the pair's, for the pair.
 
-    Counts are partial before the shuffle; pairs, not suffixes, are sorted; a hot pair's suffixes
-    meet its rank by a broadcast of counted size or else by a plain join, which Spark splits.
+    Counts are partial before the shuffle; pairs, not suffixes, are sorted; ranks are written before
+    they are joined, so that Spark can split the suffixes of a hot pair over tasks.
     """
     pairs = rows.groupBy("a", "b").agg(F.count("*").alias("times")).where("times > 1")
     ordered = pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b")
@@ -74,8 +69,7 @@ def _ranked(rows: DataFrame, files: int) -> DataFrame:
     sums = sorted(tuple(r) for r in numbered.groupBy("part").agg(F.sum("times")).collect())  # a number for each task
     offsets = rows.sparkSession.createDataFrame([(p, o) for (p, _), o in zip(sums, accumulate((n for _, n in sums), initial=0))], "part long, offset long")
     ranks = numbered.join(F.broadcast(offsets), "part").select("a", "b", (F.col("here") + F.col("offset")).alias("rank"))
-    few = numbered.limit(SMALL + 1).count() <= SMALL
-    out = materialize(rows.join(F.broadcast(ranks) if few else ranks, ["a", "b"]).drop("a", "b"), files)
+    out = materialize(rows.join(ranks, ["a", "b"]).drop("a", "b"), files)
     discard(numbered)
     return out
 
@@ -133,7 +127,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = level.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("i", "words"))).alias("lines"))
     windows = materialize(lines.mapInArrow(lean(_windows(min_words)), "did long, mark long, i long, size long"), files)
     deepest = windows.agg(F.max("size")).first()[0] or 0
-    named, k = None, 1
+    named, k, done = None, 1, [windows]
     while k <= deepest:
         # a window of k to 2k - 1 lines: the interval of its first k lines and that of its last k
         mine = windows.where((F.col("size") >= k) & (F.col("size") < 2 * k))
@@ -141,6 +135,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         tail = ranks.select(*KEY, (F.col("i") + k).alias("end"), F.col("rank").alias("tail"))
         part = mine.join(ranks, [*KEY, "i"]).withColumn("end", F.col("i") + F.col("size")).join(tail, [*KEY, "end"]).select(*KEY, "i", "size", "rank", "tail")
         part = materialize(part, files)
+        done.append(part)
         named = part if named is None else named.unionByName(part)
         if 2 * k > deepest:
             break
@@ -153,9 +148,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         named = windows.select("*", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("tail")).limit(0)
     interval = ["size", "rank", "tail"]
     first = materialize(named.groupBy(*interval).agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "i")).alias("first")).where("times > 1").drop("times"), files)
-    later = named.join(_sized(first), interval).where(F.struct(*KEY, "i") != F.col("first"))
+    later = named.join(first, interval).where(F.struct(*KEY, "i") != F.col("first"))
     gone = later.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("i", "size"))).alias("windows"))
-    return gone.mapInArrow(lean(_joined), "did long, mark long, runs array<struct<i: long, size: long>>")
+    runs = materialize(gone.mapInArrow(lean(_joined), "did long, mark long, runs array<struct<i: long, size: long>>"), files)
+    for table in (*done, level, first):
+        discard(table)
+    return runs
 
 
 def _without(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +185,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     bounded_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
     rows = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("text").cast("string").alias("text")))
-    gone = materialize(repeated_runs(docs.select("doc_id", "text"), min_words), files_for(docs.sparkSession))
+    gone = repeated_runs(docs.select("doc_id", "text"), min_words)
     # only documents that may have deletions are shuffled with their texts
     some, others = bitmap_split(rows.withColumn("place", F.xxhash64(*KEY)), "place", gone.select(F.xxhash64(*KEY)))
     met = some.join(gone, KEY, "left")

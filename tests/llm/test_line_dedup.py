@@ -1,6 +1,5 @@
 import random
 
-from glyphmill.llm import line_dedup
 from glyphmill.llm.line_dedup import dedup_lines, repeated_runs
 
 SCHEMA = "doc_id long, text string, n_lines string, i int"
@@ -71,9 +70,7 @@ def test_runs_are_maximal(spark):
     assert [(x.did, [tuple(w) for w in x.runs]) for x in runs] == [(2, [(1, 40)])]
 
 
-def test_a_large_table_of_ranks_is_joined(spark, monkeypatch):
-    """Beyond the bound of broadcasts, joins shuffle; the result is the same."""
-    monkeypatch.setattr(line_dedup, "SMALL", 0)
+def test_copies_and_a_shifted_copy(spark):
     text = "\n".join(f"line {i} of it" for i in range(40))
     docs = [(1, text), (2, text), (3, "a\n" + text)]
     got = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
