@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ SETTLE = 4  # rounds of settling at most
 TILE = 512  # rows of a block that are settled or joined together
 TILE_CHARS = 4 << 20  # and the characters of their texts
 LEAF = 16
+FEW = 6  # rows up to which a block is met pair by pair
 FINE = 512  # groups of a count vector up to which a token has a group of its own on average
 HEAVY = 1 << 16  # tokens that go last by count
 FREQUENT_HERE = 8  # occurrences in a task's buffer from which a token is counted
@@ -141,6 +143,14 @@ def block_pairs(vectors: list[np.ndarray], sizes: np.ndarray, groups: np.ndarray
                 yield u[keep], v[keep]
 
 
+def bounded(x: np.ndarray, y: np.ndarray, n: int, m: int) -> bool:
+    """Whether two points and their set sizes allow a similarity of 0.75: the bound of a leaf, for one pair."""
+    if 4 * n < 3 * m or 4 * m < 3 * n:
+        return False
+    g = min(len(x), len(y))
+    return 7 * int(np.minimum(folded(x, g), folded(y, g)).sum(dtype=np.int64)) >= 3 * (n + m)
+
+
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sets have a similarity of 0.75 or more, by exact sizes."""
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -434,6 +444,13 @@ def _candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2 or (groups == groups[0]).all():
             return
         ids = np.array([r[0] for r in rows])
+        if len(rows) <= FEW and key[1] == key[2]:  # less than a leaf: the lesser tokens first, then the same bound
+            firsts, vectors = [frozenset(r[5]) for r in rows], [np.frombuffer(r[3], np.uint8) for r in rows]
+            met = [(x, y) for x, y in combinations(range(len(rows)), 2) if groups[x] != groups[y] and firsts[x].isdisjoint(firsts[y]) and bounded(vectors[x], vectors[y], rows[x][2], rows[y][2])]
+            if met:
+                u, v = (ids[list(side)] for side in zip(*met, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+            return
         tile = np.array([r[4] for r in rows])
         before: list[frozenset] = []
         for u, v in block_pairs([np.frombuffer(r[3], np.uint8) for r in rows], np.array([r[2] for r in rows]), groups, tile if key[1] != key[2] else None):
@@ -533,7 +550,7 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _bits(entries: int) -> int:
     """Positions of a bitmap for the dividing among so many tokens, a few in a hundred: 2**20 to 2**28 (32 MB); a full one only lets more pass."""
-    return 1 << min(28, max(20, (entries // 2).bit_length()))
+    return 1 << min(28, max(20, (2 * entries).bit_length()))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -542,8 +559,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Two documents link when the Jaccard similarity of their sets of distinct five-word shingles is
     0.75 or more; ``component_id`` is the smallest doc_id that links reach. A null or empty text has
     an empty set and links with nothing; of one to four words the whole sequence is the one shingle.
-    Rows that repeat a doc_id are reported each and are one document with several texts: links of
-    any of them are the document's. A null doc_id keeps a null component. An empty table gives no rows.
+    Rows that repeat a doc_id are reported each, by their own text. A row without a doc_id is counted,
+    links with nothing and has a null component. An empty table gives no rows.
     Sets are told apart by 64-bit sums of their 64-bit shingle hashes.
     """
     spark: SparkSession = docs.sparkSession
@@ -571,6 +588,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     inside = materialize(own.mapInArrow(lean(_inside(order, bitmap)), _INSIDE), many)
     for shared in (order, bitmap):
         shared.unpersist()
+    discard(copies)
 
     labels: DataFrame | None = None
     found = 0
