@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
 return the columns of ``documents``. Between stages tables are written as Parquet and read again.
+Null and empty texts have no words and leave in the first stage; a stage that gets them all the same
+keeps them where it has no reason to drop them. Null ids and rows that repeat an id are rows like
+others in every stage. An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned list keep."""
+    """Documents that the base rules and the learned list keep, each row by its own text; labels count by id, and ids without a label teach nothing."""
     return assess(docs, fit(docs, table(spark, sf_dir, "labels"))).where("kept").select(*docs.columns)
 
 
@@ -58,7 +61,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences, of every row: one without text is its end id alone."""
     return pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
