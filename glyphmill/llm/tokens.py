@@ -10,7 +10,7 @@ from itertools import count, islice
 
 import numpy as np
 
-MAX_KNOWN = 200_000  # words kept in a worker's table, which begins anew beyond it
+MAX_KNOWN = 600_000  # words kept in a worker's table, which begins anew beyond it
 
 
 def _bytes_of_letters() -> dict[str, int]:
@@ -48,7 +48,7 @@ class ByteBpe:
         self._forget()
 
     def _whole(self, text: str) -> list[int]:
-        if self._split is None or not self._split.search(text):
+        if not any(x in text for x in self._added):
             return self._plain(text)
         out: list[int] = []
         for part in self._split.split(text):
@@ -89,7 +89,7 @@ class ByteBpe:
         counts, odd = [], {}
         for i, t in enumerate(texts):
             mine = t.replace("\n", " \n").split(" ")
-            if t.replace("\n", " ").split(" ") != t.split() or (self._split and self._split.search(t)):
+            if t.replace("\n", " ").split(" ") != t.split() or any(x in t for x in self._added):
                 odd[i] = np.array(self._whole(t), np.uint32)
                 counts.append(0)
             else:
