@@ -4,7 +4,8 @@ The corpus is a sequence of line ids. A suffix's rank by its first ``2k`` lines
 by ``k`` lines of itself and of the suffix ``k`` lines on: the pairs are sorted over all tasks, and a
 pair's rank is the number of suffixes before it. Suffixes of one rank are an interval of the suffix
 array whose longest common prefix is ``k`` lines at least; its length is the number of copies. Ranks
-that one suffix has leave at each step, so only repeated runs are ever doubled.
+that one suffix has leave at each step, and so does what lies in no window, so only runs that may be
+deleted are ever doubled.
 
 A run that is repeated and has ``min_words`` words or more is the union of windows of that many words
 that begin or end in it. The interval of a window of ``k`` to ``2k`` lines is given by two ranks of
@@ -15,6 +16,7 @@ first of their interval, put together, are the maximal repeated runs, and their
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -22,7 +24,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from glyphmill.llm.common import bitmap_split, bounded_batches, discard, files_for, lean, materialize
 
@@ -60,8 +61,9 @@ def _numbered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ranked(rows: DataFrame, files: int) -> DataFrame:
     """``rows`` of suffixes whose pair (``a``, ``b``) others have too, with ``rank``, the number of such suffixes before the pair's, for the pair.
 
-    Counts are partial before the shuffle; pairs, not suffixes, are sorted; ranks are written before
-    they are joined, so that Spark can split the suffixes of a hot pair over tasks.
+    Counts are partial before the shuffle; pairs, not suffixes, are sorted; suffixes of no such pair
+    are left out by a bitmap before they are shuffled; ranks are written before they are joined, so
+    that Spark can split the suffixes of a hot pair over tasks.
     """
     pairs = rows.groupBy("a", "b").agg(F.count("*").alias("times")).where("times > 1")
     ordered = pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b")
@@ -69,34 +71,77 @@ def _ranked(rows: DataFrame, files: int) -> DataFrame:
     sums = sorted(tuple(r) for r in numbered.groupBy("part").agg(F.sum("times")).collect())  # a number for each task
     offsets = rows.sparkSession.createDataFrame([(p, o) for (p, _), o in zip(sums, accumulate((n for _, n in sums), initial=0))], "part long, offset long")
     ranks = numbered.join(F.broadcast(offsets), "part").select("a", "b", (F.col("here") + F.col("offset")).alias("rank"))
-    out = materialize(rows.join(ranks, ["a", "b"]).drop("a", "b"), files)
+    place = F.xxhash64("a", "b")
+    likely, _ = bitmap_split(rows.withColumn("place", place), "place", numbered.select(place))
+    out = materialize(likely.drop("place").join(ranks, ["a", "b"]).drop("a", "b"), files)
     discard(numbered)
     return out
 
 
-def _windows(min_words: int):
-    """For mapInArrow over (key, lines in order): the least windows of ``min_words`` words, from each line on and up to each line."""
-    schema = pa.schema([("did", pa.int64()), ("mark", pa.int64()), ("i", pa.int64()), ("size", pa.int64())])
+def windows_of(at: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """(first line, lines) of the least windows of ``min_words`` words, from each line on and up to each line, of lines ``at`` that are repeated."""
+    cut = np.flatnonzero(np.diff(at) != 1) + 1
+    found = set()
+    for a, b in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(at)])), strict=True):
+        total = np.concatenate(([0], np.cumsum(words[a:b])))
+        if total[-1] < min_words:
+            continue
+        end = np.searchsorted(total, total[:-1] + min_words, side="left")  # first end that reaches the words
+        found |= {(int(at[a] + s), int(e - s)) for s, e in enumerate(end) if e <= b - a}
+        start = np.searchsorted(total, total[1:] - min_words, side="right") - 1  # last start that still does
+        found |= {(int(at[a] + s), int(e + 1 - s)) for e, s in enumerate(start) if s >= 0}
+    return sorted(found)
+
+
+_KIND = pa.list_(pa.struct([("i", pa.int64()), ("size", pa.int64())]))
+_STEP = "did long, mark long, i long, size long, a long, b long, windows array<struct<i: long, size: long>>"
+
+
+def step_of(at: np.ndarray, rank: np.ndarray, windows: list[tuple[int, int]], k: int) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """What a document's ranks by ``k`` lines give: names of its windows of k to 2k - 1 lines, pairs of ranks for the next step, and the windows that it is for.
+
+    A window all of whose ``k`` lines are not repeated somewhere has no copy and leaves. Pairs are
+    made only inside the windows that are longer; a copy of a window is a window too, so none is missed.
+    """
+    if not len(at):
+        return [], [], []
+    first, span = int(at[0]), int(at[-1] - at[0]) + 1
+    ranks = np.full(span + 1, -1, np.int64)
+    ranks[at - first] = rank
+    missing = np.concatenate(([0], np.cumsum(ranks[:-1] < 0)))
+    named, longer, inside = [], [], np.zeros(span, bool)
+    for i, n in windows:
+        lo, hi = i - first, i - first + n - k + 1  # the starts of its runs of k lines
+        if lo < 0 or hi > span or missing[hi] != missing[lo]:
+            continue
+        if n < 2 * k:
+            named.append((i, n, int(ranks[lo]), int(ranks[hi - 1])))
+        else:
+            longer.append((i, n))
+            inside[lo : hi - k] = True
+    starts = np.flatnonzero(inside)
+    return named, [(int(p + first), int(ranks[p]), int(ranks[p + k])) for p in starts], longer
+
+
+def _steps(k: int, min_words: int = 0):
+    """For mapInArrow over (key, lines in order, windows): rows of named windows, of pairs, and of documents with longer windows. Without windows they are made of the lines' words."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            out: list[tuple] = []
-            for did, mark, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = np.array([x["i"] for x in lines], np.int64)
-                words = np.array([x["words"] for x in lines], np.int64)
-                cut = np.flatnonzero(np.diff(at) != 1) + 1
-                found = set()
-                for a, b in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(at)])), strict=True):
-                    total = np.concatenate(([0], np.cumsum(words[a:b])))
-                    if total[-1] < min_words:
-                        continue
-                    end = np.searchsorted(total, total[:-1] + min_words, side="left")  # first end that reaches the words
-                    found |= {(int(at[a] + s), int(e - s)) for s, e in enumerate(end) if e <= b - a}
-                    start = np.searchsorted(total, total[1:] - min_words, side="right") - 1  # last start that still does
-                    found |= {(int(at[a] + s), int(e + 1 - s)) for e, s in enumerate(start) if s >= 0}
-                out += [(did, mark, i, n) for i, n in sorted(found)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        for whole in it:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                out: list[tuple] = []
+                for did, mark, lines, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    at, rank = (np.array([x[f] for x in lines], np.int64) for f in ("i", "rank"))
+                    own = windows_of(at, np.array([x["words"] for x in lines], np.int64), min_words) if windows is None else [(w["i"], w["size"]) for w in windows]
+                    named, pairs, longer = step_of(at, rank, own, k)
+                    out += [(did, mark, i, n, a, b, None) for i, n, a, b in named]
+                    out += [(did, mark, i, None, a, b, None) for i, a, b in pairs]
+                    if longer:
+                        out.append((did, mark, None, None, None, None, [{"i": i, "size": n} for i, n in longer]))
+                if out:
+                    types = [pa.int64()] * 6 + [_KIND]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["did", "mark", "i", "size", "a", "b", "windows"])
 
     return run
 
@@ -124,34 +169,24 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     every = _lines(docs, files)
     level = _ranked(every, files)
     discard(every)
-    lines = level.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("i", "words"))).alias("lines"))
-    windows = materialize(lines.mapInArrow(lean(_windows(min_words)), "did long, mark long, i long, size long"), files)
-    deepest = windows.agg(F.max("size")).first()[0] or 0
-    named, k, done = None, 1, [windows]
-    while k <= deepest:
-        # a window of k to 2k - 1 lines: the interval of its first k lines and that of its last k
-        mine = windows.where((F.col("size") >= k) & (F.col("size") < 2 * k))
-        ranks = level.select(*KEY, F.col("i").cast("long").alias("i"), "rank")
-        tail = ranks.select(*KEY, (F.col("i") + k).alias("end"), F.col("rank").alias("tail"))
-        part = mine.join(ranks, [*KEY, "i"]).withColumn("end", F.col("i") + F.col("size")).join(tail, [*KEY, "end"]).select(*KEY, "i", "size", "rank", "tail")
-        part = materialize(part, files)
-        done.append(part)
-        named = part if named is None else named.unionByName(part)
-        if 2 * k > deepest:
-            break
-        order = Window.partitionBy(*KEY).orderBy("i")
-        ahead = ranks.withColumn("ahead", F.max(F.struct("i", "rank")).over(order.rangeBetween(k, k)))
-        next_ = _ranked(ahead.where("ahead is not null").select(*KEY, "i", F.col("rank").alias("a"), F.col("ahead.rank").alias("b")), files)
+    lines = level.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("i", "rank", "words"))).alias("lines"))
+    step = materialize(lines.select(*KEY, "lines", F.lit(None).cast("array<struct<i: long, size: long>>")).mapInArrow(lean(_steps(1, min_words)), _STEP), files)
+    discard(level)
+    done, k = [step], 1
+    while not (longer := step.where("windows is not null").select(*KEY, "windows")).isEmpty():
+        k *= 2
+        level = _ranked(step.where("a is not null and size is null").select(*KEY, "i", "a", "b"), files)
+        lines = level.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("i", "rank"))).alias("lines"))
+        step = materialize(lines.join(longer, KEY).select(*KEY, "lines", "windows").mapInArrow(lean(_steps(k)), _STEP), files)
         discard(level)
-        level, k = next_, 2 * k
-    if named is None:
-        named = windows.select("*", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("tail")).limit(0)
+        done.append(step)
+    named = reduce(DataFrame.unionByName, done).where("size is not null").select(*KEY, "i", "size", F.col("a").alias("rank"), F.col("b").alias("tail"))
     interval = ["size", "rank", "tail"]
     first = materialize(named.groupBy(*interval).agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "i")).alias("first")).where("times > 1").drop("times"), files)
     later = named.join(first, interval).where(F.struct(*KEY, "i") != F.col("first"))
     gone = later.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("i", "size"))).alias("windows"))
     runs = materialize(gone.mapInArrow(lean(_joined), "did long, mark long, runs array<struct<i: long, size: long>>"), files)
-    for table in (*done, level, first):
+    for table in (*done, first):
         discard(table)
     return runs
 
@@ -188,7 +223,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = repeated_runs(docs.select("doc_id", "text"), min_words)
     # only documents that may have deletions are shuffled with their texts
     some, others = bitmap_split(rows.withColumn("place", F.xxhash64(*KEY)), "place", gone.select(F.xxhash64(*KEY)))
-    met = some.join(gone, KEY, "left")
+    met = some.join(gone.hint("merge"), KEY, "left")  # the same join at every size, so that what is shuffled follows the input
     changed = met.where("runs is not null").select("row", "text", "runs")
     schema = changed.select("row", "text").schema.add("n_lines", "long").add("n_removed", "long")
     untouched = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long"), "n_removed": F.lit(0).cast("long")}
