@@ -121,14 +121,19 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, ``n`` at least; kept between calls unless a very long text asks for more than a million."""
     global _powers, _inverses
-    if len(_powers) < n:
-        size = 1 << (n - 1).bit_length()
-        for name, base in (("_powers", _BASE), ("_inverses", _INV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            globals()[name] = np.multiply.accumulate(p)
-    return _powers, _inverses
+    if len(_powers) >= n:
+        return _powers, _inverses
+    size = 1 << (n - 1).bit_length()
+    out = []
+    for base in (_BASE, _INV):
+        p = np.full(size, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    if size <= 1 << 20:
+        _powers, _inverses = out
+    return out[0], out[1]
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,12 +196,18 @@ def _blocks(texts: list[str | None], chars: int = 100_000) -> Iterator[tuple[int
         yield lo, len(texts)
 
 
-def bitmap_split(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+def bits_for(keys: int) -> int:
+    """Positions of a bitmap for so many keys: sixteen for each, 2**20 to 2**26 (8 MB); a full one only lets more pass."""
+    return 1 << min(26, max(20, (16 * keys - 1).bit_length()))
+
+
+def bitmap_split(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of ``df`` whose ``column`` may be among the one column of ``keys``, to be joined with them, and the others, which certainly aren't (nulls too).
 
-    A bitmap of ``bits`` hashed positions (512 kB by default, whatever the input) goes to all
-    executors, so that rows which can't match are not shuffled.
+    A bitmap of hashed positions goes to all executors, so that rows which can't match are not
+    shuffled. ``keys`` is a written table: it is read twice.
     """
+    bits = bits_for(keys.count())
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     words = dict(
         keys.select(cell(keys[keys.columns[0]]).alias("at"))

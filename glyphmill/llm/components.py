@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import discard, files_for, materialize
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None, rounds: int = 64) -> DataFrame:
     """(``id``, ``component``) for each end of the edges (``a``, ``b``): the smallest id that links reach.
 
     Each round hooks every label to its smallest neighbour, follows two pointers and replaces the
@@ -17,7 +17,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     before the shuffle and joins are plain equi-joins, which adaptive execution splits at hot labels.
     """
     spark = edges.sparkSession
-    edges = materialize(edges.select("a", "b").where("a <> b").distinct(), files_for(spark))
+    edges = materialize(edges.select("a", "b").where("a <> b").distinct(), files or files_for(spark))
     files = files_for(spark, rows=2 * edges.count())
     labels = materialize(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("component", F.col("id")), files)
     for _ in range(rounds):

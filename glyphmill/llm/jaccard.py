@@ -534,7 +534,7 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _merged(labels: DataFrame | None, links: DataFrame, files: int) -> DataFrame:
     """(``node``, ``component``) of all nodes that have links, after ``links`` between components."""
-    more = components(links).withColumnRenamed("id", "node")
+    more = components(links, files).withColumnRenamed("id", "node")
     if labels is None:
         return more
     to = more.select(F.col("node").alias("component"), F.col("component").alias("to"))
@@ -596,7 +596,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         hashed = F.transform("tokens", lambda t: F.struct(F.xxhash64(t, F.lit(k)).alias("h"), t.alias("token")))  # noqa: B023
         met = _labelled(inside, labels).select(F.array_min(hashed)["token"].alias("token"), F.array_max(hashed)["token"].alias("other"), "node", "component", "n", "point", "text")
         dealt = met.repartitionByRange("token", "other", "node").sortWithinPartitions("token", "other", "node")
-        links = materialize(dealt.select("token", "component", "n", "point", "text", F.length("text").alias("chars")).mapInArrow(lean(_settle), "a long, b long"), many)
+        links = materialize(dealt.select("token", "component", "n", "point", "text", F.length("text").alias("chars")).mapInArrow(lean(_settle), "a long, b long").repartition(few))
         here = links.count()
         if here:
             labels = _merged(labels, links, few)
