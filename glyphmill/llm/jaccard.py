@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from glyphmill.llm.common import bitmap_split, bounded_batches, discard, files_for, lean, materialize, mix, shingle_sets
+from glyphmill.llm.common import bitmap_split, bounded_batches, discard, files_for, lean, materialize, mix, release, shingle_sets
 from glyphmill.llm.components import components
 
 # Orders and sizes of work; none of them drops a pair or changes a result.
@@ -175,7 +175,10 @@ def _table(columns: list, schema: pa.Schema) -> pa.RecordBatch:
 
 
 class _Dealer:
-    """Buffers (token, component, size) of many documents and deals them to ``parts`` ranges of tokens as packed rows."""
+    """Buffers (token, component, size) of many documents and deals them to ``parts`` ranges of their tokens' low halves as packed rows.
+
+    Prefixes hold the least tokens of their sets, so ranges of whole tokens would give a quarter of the parts nearly all.
+    """
 
     schema = pa.schema([("part", pa.int64()), ("token", pa.binary()), ("component", pa.binary()), ("n", pa.binary())])
 
@@ -197,12 +200,15 @@ class _Dealer:
         c = np.repeat(np.array([c for _, c, _ in self.held], np.int64), lengths)
         n = np.repeat(np.array([n for _, _, n in self.held], np.int32), lengths)
         self.clear()
+        half = np.uint64(32)
+        t = t << half | t >> half
         order = np.lexsort((n, c, t))
         t, c, n = t[order], c[order], n[order]
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])
         t, c, n = t[new], c[new], n[new]
-        part = ((t >> np.uint64(32)) * np.uint64(self.parts)) >> np.uint64(32)
+        part = ((t >> half) * np.uint64(self.parts)) >> half
+        t = t << half | t >> half
         cut = np.searchsorted(part, np.arange(self.parts + 1))
         full = np.flatnonzero(np.diff(cut))
         return [full, *([x[cut[i] : cut[i + 1]].tobytes() for i in full] for x in (t, c, n))]
@@ -323,7 +329,7 @@ def held_by(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 def _divided(bits: int):
     """For applyInArrow: bitmap words of the tokens in this range that two sets of different components and of sizes near enough have."""
 
-    def run(part: pa.Table) -> pa.Table:
+    def words(part: pa.Table) -> pa.Table:
         t, c, n = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in part.column(name)]) for name, kind in (("token", np.uint64), ("component", np.int64), ("n", np.int32)))
         order = np.lexsort((n, t))
         t, c, n = t[order], c[order], n[order].astype(np.int64)
@@ -331,9 +337,14 @@ def _divided(bits: int):
         near = (t[1:] == t[:-1]) & (c[1:] != c[:-1]) & (4 * n[:-1] >= 3 * n[1:])
         cells = np.unique(_cell(t[1:][near], bits))
         begin = np.flatnonzero(np.concatenate(([True], cells[1:] >> 6 != cells[:-1] >> 6))) if len(cells) else np.empty(0, np.int64)
-        words = cells[begin] >> 6
-        held = np.bitwise_or.reduceat(np.uint64(1) << (cells & 63).astype(np.uint64), begin).view(np.int64) if len(cells) else words
-        return pa.table({"w": pa.array(words, pa.int64()), "b": pa.array(held, pa.int64())})
+        at = cells[begin] >> 6
+        held = np.bitwise_or.reduceat(np.uint64(1) << (cells & 63).astype(np.uint64), begin).view(np.int64) if len(cells) else at
+        return pa.table({"w": pa.array(at, pa.int64()), "b": pa.array(held, pa.int64())})
+
+    def run(part: pa.Table) -> pa.Table:
+        found = words(part)
+        release()
+        return found
 
     return run
 

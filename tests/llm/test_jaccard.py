@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from glyphmill.llm import jaccard
 from glyphmill.llm.jaccard import jaccard_components
 
@@ -104,3 +106,17 @@ def test_long_texts(spark):
     docs = [(1, " ".join(words)), (2, " ".join(words[:55000])), (3, " ".join(words[:30000])), (4, "y" * 200_000), (5, "Y" * 200_000)]
     got = jaccard_components(spark.createDataFrame([(i, t, 9) for i, t in docs], SCHEMA)).collect()
     assert {tuple(x) for x in got} == brute(docs)
+
+
+def test_prefixes_are_dealt_evenly():
+    """A prefix holds the least tokens of its set; no part may hold much more than another all the same."""
+    r = np.random.default_rng(6)
+    dealer = jaccard._Dealer(40)
+    for i in range(200):
+        s = np.unique(r.integers(0, 2**64, 800, np.uint64))
+        dealer.add(s[: len(s) // 4 + 1], i, len(s))
+    part, token, _, _ = dealer.packed()
+    held = [len(t) // 8 for t in token]
+    assert sum(held) == 200 * 201 and len(part) == 40 and max(held) < 2 * min(held)
+    tokens = [np.frombuffer(t, np.uint64) for t in token]
+    assert len(np.unique(np.concatenate(tokens))) == sum(len(np.unique(t)) for t in tokens)
