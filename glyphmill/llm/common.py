@@ -106,8 +106,8 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SPACE = bytes(c == 0x20 or 0x09 <= c <= 0x0D for c in range(256))
+_ABOVE = np.arange(1, 257, dtype=np.uint64)  # a byte's value and one
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -115,9 +115,15 @@ _inverses = np.ones(1, np.uint64)
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """The finalizer of splitmix64, elementwise."""
     x = x + _U((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    y = x >> _U(30)
+    x ^= y
+    x *= _U(0xBF58476D1CE4E5B9)
+    np.right_shift(x, _U(27), out=y)
+    x ^= y
+    x *= _U(0x94D049BB133111EB)
+    np.right_shift(x, _U(31), out=y)
+    x ^= y
+    return x
 
 
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,18 +146,28 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start byte and 64-bit hash of each run of non-space bytes in lower-cased UTF-8 ``data``."""
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
+    space = np.frombuffer(b"\1" + data.tobytes().translate(_SPACE) + b"\1", np.bool_)
+    edge = np.flatnonzero(space[1:] != space[:-1])
     start, end = edge[::2], edge[1::2]
     powers, inverses = _grown(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + _U(1)) * powers[: len(data)], out=total[1:])
+    value = _ABOVE[data]
+    value *= powers[: len(data)]
+    np.cumsum(value, out=total[1:])
     return start, mix((total[end] - total[start]) * inverses[start] + (end - start).astype(np.uint64))
 
 
 _ROLL = [_U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB), _U(0x8EBC6AF09C88C6E3), _U(0x589965CC75374CC3)]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; ``np.unique`` hashes them before it sorts, which takes several times as long."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x if new.all() else x[new]
+
+
 def shingle_sets(texts: list[str | None], width: int = 5) -> Iterator[np.ndarray]:
     """For each text its sorted distinct 64-bit shingle hashes.
 
@@ -168,12 +184,12 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> Iterator[np.ndarray
         n = len(word) - width + 1
         if n > 0:
             rolled = np.zeros(n, np.uint64)
-            for j in range(width):
-                rolled += mix(word[j : j + n], j) * _ROLL[j % len(_ROLL)]
+            for j in range(width):  # a word's hash is mixed already
+                rolled += word[j : j + n] * _ROLL[j % len(_ROLL)]
             rolled = mix(rolled, 77)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a >= width:
-                yield np.unique(rolled[a : b - width + 1])
+                yield distinct(rolled[a : b - width + 1])
             elif b > a:
                 short = mix(word[a:b], 99)
                 value = _U(b - a)

@@ -263,13 +263,21 @@ class Order:
         self.token, self.rank, self.known = heavy[by_token], len(heavy) - by_token, known
 
     def prefix(self, s: np.ndarray) -> np.ndarray:
+        """The first ``len(s) // 4 + 1`` tokens; the whole set is looked up only if its least tokens by hash hold too few of neither table."""
         length = len(s) // 4 + 1
+        for head in (s[: length + length // 4 + 8], s):
+            place = self._place(head)
+            first = head[place == 0][:length]
+            if len(first) == length:
+                return first
+        return s[np.argsort(place, kind="stable")[:length]]
+
+    def _place(self, s: np.ndarray) -> np.ndarray:
         place = held_by(self.known, s).astype(np.int64)
         if len(self.token):
             at = np.minimum(np.searchsorted(self.token, s), len(self.token) - 1)
             place = np.where(self.token[at] == s, 2 + self.rank[at], place)
-        first = s[place == 0][:length]
-        return first if len(first) == length else s[np.argsort(place, kind="stable")[:length]]
+        return place
 
 
 def _prefixes(order, parts: int):
@@ -471,16 +479,51 @@ def _candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
-    for batch in it:
-        cols = [c.to_pylist() for c in batch.columns]
-        for token, i, j, tile, node, comp, n, point, first in zip(*cols, strict=True):
-            if (token, i, j) != key:
+    for batch in (b for b in it if b.num_rows):
+        block = [batch.column(c).to_numpy() for c in range(3)]
+        begin = np.concatenate(([0], np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in block])) + 1, [batch.num_rows]))
+        length = np.diff(begin)
+        small = (length <= FEW) & (block[1][begin[:-1]] == block[2][begin[:-1]])
+        small[[0, -1]] = False  # these may go on in other batches
+        yield from _few(batch, np.repeat(np.where(small, np.arange(len(small)), -1), length))
+        for b in np.flatnonzero(~small).tolist():
+            whole = batch.slice(begin[b], length[b])
+            here = tuple(int(x[begin[b]]) for x in block)
+            if here != key:
                 yield from ended()
-                key, rows = (token, i, j), []
-            rows.append((node, comp, n, point, tile, first))
+                key, rows = here, []
+            rows += [(node, comp, n, point, tile, first) for tile, node, comp, n, point, first in zip(*(c.to_pylist() for c in whole.columns[3:]), strict=True)]
     yield from ended()
 
 
+def _few(batch: pa.RecordBatch, block: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The candidate pairs of the blocks of FEW rows at most in a batch; ``block`` numbers them, -1 is none of them. As for others, lesser tokens first, then the bound."""
+    node, comp, n = (batch.column(c).to_numpy() for c in (4, 5, 6))
+    met = []
+    for d in range(1, min(FEW, len(block))):
+        x = np.flatnonzero((block[d:] == block[:-d]) & (block[d:] >= 0) & (comp[d:] != comp[:-d]) & (4 * n[d:] >= 3 * n[:-d]) & (4 * n[:-d] >= 3 * n[d:]))
+        met.append(np.stack([x, x + d]))
+    x, y = np.concatenate(met, axis=1) if met else np.empty((2, 0), np.int64)
+    if not len(x):
+        return
+    points, firsts = batch.column(7), batch.column(8)
+    at, tokens = firsts.offsets.to_numpy(), firsts.values.to_numpy()
+    count = np.diff(at)
+    apart = np.ones(len(x), bool)
+    for i in range(count[x].max(initial=0)):  # FIRST at most
+        with_i = np.flatnonzero(apart & (count[x] > i))
+        mine = tokens[at[x[with_i]] + i]
+        for j in range(count[y[with_i]].max(initial=0)):
+            both = count[y[with_i]] > j
+            apart[with_i[both]] &= tokens[at[y[with_i[both]]] + j] != mine[both]
+    x, y = x[apart], y[apart]
+    vectors = {i: np.frombuffer(points[i].as_buffer(), np.uint8) for i in set(x.tolist()) | set(y.tolist())}
+    keep = np.fromiter((bounded(vectors[i], vectors[j], n[i], n[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)), bool, len(x))
+    u, v = node[x[keep]], node[y[keep]]
+    if len(u):
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+
+
 def _sized(df: DataFrame) -> DataFrame:
     """Broadcast a written table of numbers if its counted rows are few."""
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df

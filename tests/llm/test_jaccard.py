@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from glyphmill.llm import jaccard
 from glyphmill.llm.jaccard import jaccard_components
@@ -120,3 +121,46 @@ def test_prefixes_are_dealt_evenly():
     assert sum(held) == 200 * 201 and len(part) == 40 and max(held) < 2 * min(held)
     tokens = [np.frombuffer(t, np.uint64) for t in token]
     assert len(np.unique(np.concatenate(tokens))) == sum(len(np.unique(t)) for t in tokens)
+
+
+def test_prefix_is_that_of_the_whole_order_by_few_lookups(monkeypatch):
+    r = np.random.default_rng(7)
+    looked = []
+    held_by = jaccard.held_by
+    monkeypatch.setattr(jaccard, "held_by", lambda bitmap, tokens: looked.append(len(tokens)) or held_by(bitmap, tokens))
+    for n, heavy_share, bits in ((4000, 0, 0), (4000, 0.05, 0.02), (3000, 0.5, 0.4), (1, 0, 0), (3, 1, 1), (5, 0.5, 0.5)):
+        s = np.unique(r.integers(0, 2**64, n, np.uint64))
+        heavy = r.permutation(s)[: int(n * heavy_share)]
+        known = np.zeros(1 << 10, np.uint64)
+        for cell in jaccard._cell(r.permutation(s)[: int(n * bits)], 1 << 16):
+            known[cell >> 6] |= np.uint64(1) << np.uint64(cell & 63)
+        order = jaccard.Order(heavy, known)
+        rank = {int(t): 2 + len(heavy) - k for k, t in enumerate(heavy)}
+        place = [rank.get(int(t), int(held)) for t, held in zip(s, held_by(known, s), strict=True)]
+        looked.clear()
+        assert order.prefix(s).tolist() == [int(t) for _, t in sorted(zip(place, s, strict=True))][: n // 4 + 1]
+        if n == 4000:
+            assert sum(looked) < 1500
+
+
+def test_small_blocks_meet_alike_in_any_batches():
+    r = np.random.default_rng(8)
+    base = np.unique(r.integers(0, 2**63, 400, np.int64)).view(np.uint64)
+    rows = []
+    for token in range(300):
+        for k in range(r.integers(1, 10)):
+            s = base[r.integers(0, 60) :] if r.random() < 0.7 else base[: r.integers(100, 400)]
+            rows.append((token, 0, 0, 0, 1000 * token + k, int(r.integers(0, 3)), len(s), jaccard.count_vector(s).tobytes(), r.integers(-40, 0, r.integers(0, 6)).tolist()))
+    names = ["token", "i", "j", "tile", "node", "component", "n", "point", "first"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    batch = jaccard._table(list(zip(*rows, strict=True)), pa.schema(list(zip(names, kinds, strict=True))))
+    brute = set()
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and x[4] < y[4] and x[5] != y[5] and not set(x[8]) & set(y[8]) and jaccard.bounded(*(np.frombuffer(z[7], np.uint8) for z in (x, y)), x[6], y[6]):
+                brute.add((x[4], y[4]))
+    for size in (1, 7, 100, len(rows)):
+        cut = [pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(at, size).columns], schema=batch.schema) for at in range(0, len(rows), size)]
+        got = [tuple(p.values()) for out in jaccard._candidates(iter([batch.slice(0, 0), *cut])) for p in out.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == brute
+    assert len(brute) > 200
