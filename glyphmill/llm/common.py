@@ -67,10 +67,27 @@ def release() -> None:
         trim(0)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow, with memory given back after each batch: workers live on between tasks, and two or more share an executor."""
+#: What clears the tables that an operator keeps in a worker from task to task.
+kept: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    """Drop what other operators have kept in this worker, which lives on when their tasks are done."""
+    for clear in kept:
+        clear()
+    release()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with memory given back after each batch: workers live on between tasks, and two or more share an executor.
+
+    Unless it ``keeps`` them, tables kept by operators that ran before are dropped first.
+    """
 
     def wrapped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
+
         def batches() -> Iterator[pa.RecordBatch]:
             for batch in it:
                 yield batch

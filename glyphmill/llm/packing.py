@@ -105,7 +105,7 @@ def pack(docs: DataFrame, *, path: str | None = None, end_id: int = 1, capacity:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     groups = max(1, math.ceil((n + size / (4 * capacity)) / group))  # an id has about four bytes
-    pieces = rows.mapInArrow(lean(_pieces(path, end_id, capacity, groups)), f"{_PIECE}, sequence_id long, offset long, pack_group long")
+    pieces = rows.mapInArrow(lean(_pieces(path, end_id, capacity, groups), keeps=True), f"{_PIECE}, sequence_id long, offset long, pack_group long")
 
     def pack_group(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.drop_columns(["pack_group"])

@@ -109,4 +109,4 @@ def count_tokens(docs: DataFrame, *, path: str | None = None, fields: Sequence[s
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(ids_of, pa.int64()), *map(pa.array, np.concatenate(out, axis=1).astype(np.int64))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in fields]).mapInArrow(lean(run), ", ".join(f"{f.name} long" for f in schema))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in fields]).mapInArrow(lean(run, keeps=True), ", ".join(f"{f.name} long" for f in schema))

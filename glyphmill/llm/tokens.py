@@ -10,6 +10,8 @@ from itertools import count, islice
 
 import numpy as np
 
+from glyphmill.llm.common import kept
+
 MAX_KNOWN = 600_000  # words kept in a worker's table, which begins anew beyond it
 
 
@@ -120,6 +122,9 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+kept.append(byte_bpe.cache_clear)
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 

@@ -79,3 +79,14 @@ def test_null_ids_and_long_documents(spark):
     for s in {x.sequence_id for x in got}:
         inside = sorted((x.offset, x.length) for x in got if x.sequence_id == s)
         assert [o for o, _ in inside] == [sum(n for _, n in inside[:k]) for k in range(len(inside))] and sum(n for _, n in inside) <= 2048
+
+
+def test_workers_of_other_operators_drop_the_vocabulary():
+    from glyphmill.llm.common import lean
+    from glyphmill.llm.tokens import byte_bpe, vocabulary_path
+
+    byte_bpe(vocabulary_path())
+    list(lean(lambda it: it, keeps=True)(iter([])))
+    assert byte_bpe.cache_info().currsize == 1
+    list(lean(lambda it: it)(iter([])))
+    assert byte_bpe.cache_info().currsize == 0
